@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["topn", "termfreq", "bpe", "packing", "knn"]
+_MODULES = ["topn", "termfreq", "bpe", "packing", "knn", "clusters"]
 
 
 def queries() -> dict:
