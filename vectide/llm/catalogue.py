@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["topn", "termfreq", "bpe", "packing", "knn", "clusters", "history", "mojibake"]
+_MODULES = ["topn", "termfreq", "bpe", "packing", "knn", "clusters", "history", "mojibake", "diverse"]
 
 
 def queries() -> dict:
