@@ -16,6 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    """Tables of this process go when it ends: nothing reads them later."""
+    for base, spark in _written.items():
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before
+            shutil.rmtree(base.removeprefix("file://"), ignore_errors=True)
 
 
 def root(spark: SparkSession) -> str:
@@ -39,6 +51,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _written[self.base] = spark
 
     def path(self, name: str) -> str:
         self._n += 1
