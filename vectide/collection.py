@@ -27,7 +27,7 @@ CUT_EVERY = 8
 class Collection:
     def __init__(self, spark: SparkSession, records: DataFrame, dimension: int | None, index: IndexKind, encoding: str = FLOAT32, graph: DataFrame | None = None):
         self.spark, self.records, self.dimension, self.index, self.encoding = spark, records, dimension, index, encoding
-        self._graph = graph
+        self._graph, self._own_graph = graph, False
         self._dead: DataFrame | None = None
         self._n_dead = 0
         self._steps = 0
@@ -150,17 +150,24 @@ class Collection:
 
     def _built(self) -> DataFrame:
         if self._graph is None:
-            self._graph = self.build_ann_index(self.index.params)
+            self._graph, self._own_graph = self.build_ann_index(self.index.params), True
             self._dead, self._n_dead = None, 0
         return self._graph
 
     # ------------------------------------------------------------------------------------------------------ storage
     def save(self, path: str) -> None:
-        """The graph goes with the records unless tombstones are pending."""
+        """The graph goes with the records unless tombstones are pending. Afterwards this handle reads what was saved, or,
+        with lossy encoding, a scratch table, so later saves may remove what it was loaded from."""
         graph = None
         if self.index.params is not None and not self._n_dead and not self.is_empty():
             graph = self._built()
+        if self.encoding != FLOAT32:
+            self.records = self._scratch.table(self.records, "records")
         store.save(self.spark, path, self.records, dimension=self.dimension, index=self.index, encoding=self.encoding, graph=graph)
+        if self.encoding == FLOAT32:
+            self.records = store.scan(self.spark, path, store.read_manifest(self.spark, path))
+            if not self._own_graph:
+                self._graph = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Collection":

@@ -45,6 +45,7 @@ def _checksum(df: DataFrame) -> int:
 
 def save(spark: SparkSession, path: str, records: DataFrame, *, dimension: int | None, index: IndexKind, encoding: str, graph: DataFrame | None = None) -> None:
     snapshot = f"records-{uuid.uuid4().hex[:12]}"
+    before = _snapshots(spark, path)
     low = high = 0.0
     stored = records.select(*RECORD.names)
     if encoding == SCALAR8:
@@ -63,11 +64,20 @@ def save(spark: SparkSession, path: str, records: DataFrame, *, dimension: int |
         graph.select("shard", "node", "id", "neighbors").write.parquet(f"{path}/{about['graph']}")
     body = json.dumps(about, sort_keys=True)
     files.write_text(spark, f"{path}/{MANIFEST}", json.dumps({"crc32": zlib.crc32(body.encode()), "body": about}, sort_keys=True, indent=1))
-    for name in files.names(spark, path):  # snapshots that nothing points to any more
-        if name.startswith(("records-", "graph-")) and name not in (snapshot, about["graph"]):
+    # the snapshot before this one stays for its readers; older ones go
+    for name in files.names(spark, path):
+        if name.startswith(("records-", "graph-")) and name not in (snapshot, about["graph"], *before):
             files.remove(spark, f"{path}/{name}")
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    try:
+        about = json.loads(files.read_text(spark, f"{path}/{MANIFEST}"))["body"]
+        return [about["snapshot"], about["graph"]]
+    except (StorageError, ValueError, KeyError, TypeError):
+        return []
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     """Checks in order: form, kind, checksum of the manifest, version, encoding, index."""
     try:
