@@ -4,16 +4,17 @@ The history is a set of written tables: content-defined chunks of every accepted
 8-bit vectors by forest leaf. A batch joins its own few keys with these narrow tables; old records are read again only
 where they are candidates.
 
-Text. A rolling hash over the bytes of a text's words (distinct, sorted) sets chunk boundaries, so texts that differ in a
-few words share most chunks. Chunks are ordered from rare to common by a frozen list of the common ones; each record
-enters the chunk-to-record table with its rarest chunks up to the bytes that two texts of enough coverage cannot both
-lack. Thus chunks held by a third of all records (common phrases) never form a join, and still no pair that shares
-``COVERAGE`` of its bytes is lost. Shared byte totals of the candidates decide by coverage, and the word sets of those
-that pass are compared exactly.
+Text. A rolling hash over the bytes of each word of a text (distinct words; a word's end is a boundary as well) sets chunk
+boundaries, so texts that differ in a few words share most chunks. A text knows the fewest bytes that it must share with
+one whose words overlap enough. Its chunks are ordered from rare to common by a frozen list of the common ones, and only
+the rarest are in the chunk-to-record table: those that two such texts can't both lack. Thus chunks held by a third of
+all records (common phrases) never form a join, and no pair is lost. Shared byte totals of the candidates decide by
+coverage, and the word sets of those that pass are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
@@ -30,11 +31,8 @@ from vectide.plans.scratch import Scratch, broadcast_if
 DIM = 96
 MIN_COS = 0.985
 MIN_JACCARD = 0.8
-#: Candidates share at least this part of the bytes of the smaller text. It lies below what a word overlap of MIN_JACCARD
-#: leaves: a word that is missing on one side breaks at most two chunks of the other, one that is extra at most one.
-COVERAGE = 0.2
-#: Least bytes of a chunk, and the mask of the rolling hash: at word ends, every second one on average.
-CHUNK_MIN, CHUNK_MASK = 3, 0x1
+#: Least bytes of a chunk within a word, and the mask of the rolling hash there.
+CHUNK_MIN, CHUNK_MASK = 4, 0xF
 #: A chunk in more than max(COMMON_ROWS, records / MOST_COMMON) records is common. A record has a bounded number of
 #: chunks a byte, so the list of common chunks is bounded by MOST_COMMON times the mean chunks of a record.
 COMMON_ROWS, MOST_COMMON = 20, 20_000
@@ -51,67 +49,89 @@ def words(text: str | None) -> list[str]:
     return sorted(set(_WORD.findall(unicodedata.normalize("NFKC", text).lower()))) if text else []
 
 
-def chunks(sorted_words: list[str]) -> list[tuple[int, int]]:
-    """(hash, bytes) of the content-defined chunks of a word list. The gear hash of the bytes so far in the word list
-    decides at each word end whether a chunk ends, so a boundary depends only on the bytes of the last word(s)."""
-    out, start, data = [], 0, bytearray()
-    for w in sorted_words:
-        h = 0
-        raw = w.encode("utf-8") + b" "
-        for byte in raw:
-            h = ((h << 1) + _GEAR[byte]) & _M64
-        data += raw
-        if len(data) - start >= CHUNK_MIN and (h >> 32) & CHUNK_MASK == 0:
-            out.append((xxhash.xxh64_intdigest(bytes(data[start:])) - (1 << 63), len(data) - start))
-            start = len(data)
-    if start < len(data):
-        out.append((xxhash.xxh64_intdigest(bytes(data[start:])) - (1 << 63), len(data) - start))
+def chunks(word: str) -> list[tuple[int, int]]:
+    """(hash, bytes) of the content-defined chunks of one word. The gear hash of the bytes since the word's start decides
+    where a chunk ends; a chunk's hash is that of the word up to its end, so equal chunks stem from equal beginnings."""
+    raw, out, start, h = word.encode("utf-8"), [], 0, 0
+    for i, byte in enumerate(raw, 1):
+        h = ((h << 1) + _GEAR[byte]) & _M64
+        if i - start >= CHUNK_MIN and i < len(raw) and (h >> 40) & CHUNK_MASK == 0:
+            out.append((xxhash.xxh64_intdigest(raw[:i]) - (1 << 63), i - start))
+            start = i
+    out.append((xxhash.xxh64_intdigest(raw + b" ") - (1 << 63), len(raw) + 1 - start))
     return out
 
 
+def least_shared(sizes: list[int], distinct_bytes: int, jaccard: float = MIN_JACCARD) -> int:
+    """Fewest chunk bytes shared with any text of that word overlap: the shortest of the words that must be common, less
+    the bytes that chunks repeated within the text could hide."""
+    common = math.ceil(jaccard * len(sizes) - 1e-9)
+    return max(1, sum(sorted(sizes)[:common]) - (sum(sizes) - distinct_bytes))
+
+
 def chunk_rows(df: DataFrame) -> DataFrame:
-    """``key, sig, hashes, sizes``: chunks of each text with words; ``sig`` stands for the word set (128 bits)."""
+    """``key, s1, s2, hashes, sizes, need, n, bits``: chunks of each text with words; s1 and s2 stand for the word set (128
+    bits), n is its size, and each word sets one of 64 bits: two sets differ in at least as many words as bits."""
 
     def run(batches):
+        known: dict[str, list[tuple[int, int]]] = {}
         for b in batches:
-            keys, sig1, sig2, hashes, sizes = [], [], [], [], []
+            rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(t)
                 if not w:
                     continue
-                c = chunks(w)
+                got: dict[int, int] = {}
+                for x in w:
+                    c = known.get(x)
+                    if c is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        c = known[x] = chunks(x)
+                    got.update(c)
                 line = " ".join(w).encode("utf-8")
-                keys.append(k)
-                sig1.append(xxhash.xxh64_intdigest(line, 1) - (1 << 63))
-                sig2.append(xxhash.xxh64_intdigest(line, 2) - (1 << 63))
-                hashes.append([x for x, _ in c])
-                sizes.append([n for _, n in c])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                names=["key", "s1", "s2", "hashes", "sizes"])
+                need = least_shared([len(x.encode("utf-8")) + 1 for x in w], sum(got.values()))
+                rows.append((k, xxhash.xxh64_intdigest(line, 1) - (1 << 63), xxhash.xxh64_intdigest(line, 2) - (1 << 63), list(got), list(got.values()), need, len(w), word_bits(w)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "s1", "s2", "hashes", "sizes", "need", "n", "bits"])
+
+    return df.select("key", "text").mapInArrow(run, "key long, s1 long, s2 long, hashes array<long>, sizes array<int>, need int, n int, bits long")
+
+
+def word_bits(w: list[str]) -> int:
+    bits = 0
+    for x in w:
+        bits |= 1 << (xxhash.xxh64_intdigest(x, 3) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
 
-    return df.select("key", "text").mapInArrow(run, "key long, s1 long, s2 long, hashes array<long>, sizes array<int>")
+def close_sets(a: DataFrame, b: DataFrame):
+    """Join condition that holds for every pair of sets of the needed overlap: they differ in at most (n + n) * (1 - j) /
+    (1 + j) words. Within the join it keeps the postings of chunks that a large group shares from becoming rows."""
+    return F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= (a["n"] + b["n"]) * F.lit((1 - MIN_JACCARD) / (1 + MIN_JACCARD)) + F.lit(1e-9)
 
 
 def prefixes(rows: DataFrame, common: dict[int, int]) -> DataFrame:
-    """``chunk, key``: each record's chunks from rare to common until those left hold less than COVERAGE of its bytes."""
+    """``chunk, key, n, bits``: each record's chunks from rare to common until those left hold fewer bytes than it must
+    share."""
     order = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         rank = order.value
         for b in batches:
             out_c, out_k = [], []
-            for k, hs, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                left = total = sum(ns)
+            for i, (hs, ns, need) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                left = sum(ns)
                 for _, h, n in sorted((rank.get(h, 0), h, n) for h, n in zip(hs, ns)):
-                    if left < COVERAGE * total:
+                    if left < need:
                         break
                     out_c.append(h)
-                    out_k.append(k)
+                    out_k.append(i)
                     left -= n
-            yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_k, pa.int64())], names=["chunk", "key"])
+            at = pa.array(out_k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), *(c.take(at) for c in b.columns[3:])], names=["chunk", "key", "n", "bits"])
 
-    return rows.select("key", "hashes", "sizes").mapInArrow(run, "chunk long, key long")
+    return rows.select("hashes", "sizes", "need", "key", "n", "bits").mapInArrow(run, "chunk long, key long, n int, bits long")
 
 
 @dataclass
@@ -123,8 +143,9 @@ class History:
     dim: int
     records: DataFrame  # key, id, text, vector: only read for candidates
     ids: DataFrame  # id
-    texts: DataFrame  # key (smallest of its word set), s1, s2, hashes, sizes
-    chunk_table: DataFrame  # chunk, key
+    texts: DataFrame  # key (smallest of its word set), s1, s2
+    chunks: DataFrame  # key, s1, s2, hashes, sizes, need, n, bits
+    chunk_table: DataFrame  # chunk, key, n, bits
     vectors: DataFrame  # key (smallest of its copies), h1, h2
     leaves: DataFrame  # leaf, role, id, vector (8 bits)
     common: dict[int, int]
@@ -141,9 +162,8 @@ class History:
         df = ch.select(F.explode("hashes").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
         bar = max(COMMON_ROWS, count // MOST_COMMON)
         common = {r["chunk"]: r["n"] for r in df.where(F.col("n") > bar).toLocalIterator()}
-        texts = scratch.table(one_each(ch, ["s1", "s2"]), "texts")
-        scratch.drop(ch)
-        table = scratch.table(prefixes(texts, common), "chunk-to-record")
+        texts, firsts = first_of_sets(ch, scratch)
+        table = scratch.table(prefixes(firsts, common), "chunk-to-record")
         good = rp.usable(rows, "key", "vector", dim)
         prints = good.select(F.col("id").alias("key"), *rp.fingerprint())
         one = scratch.table(prints.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "vectors")
@@ -156,7 +176,7 @@ class History:
             good = twice.where("key IS NULL OR key = id").select("id", "vector")
         leaves = scratch.table(rp.route(good, forest, dim, member=True, query=False, probes=0, coarse=True), "leaves")
         ids = rows.select("id")
-        return cls(spark, scratch, dim, rows, ids, texts, table, one.select("key", "h1", "h2"), leaves, common, forest)
+        return cls(spark, scratch, dim, rows, ids, texts, ch, table, one.select("key", "h1", "h2"), leaves, common, forest)
 
     # ------------------------------------------------------------------------------------------------------------
     def decide(self, incoming: DataFrame) -> DataFrame:
@@ -171,21 +191,20 @@ class History:
         s = self.scratch
         inc = s.table(incoming.select("key", "pos", "id", "text", "vector"), "incoming")
         ch = s.table(chunk_rows(inc), "chunks")
-        own = one_each(ch, ["s1", "s2"])
+        sets, own = first_of_sets(ch, s)
         good = rp.usable(inc, "key", "vector", self.dim).withColumnRenamed("id", "key")
         prints = s.table(good.select("key", *rp.fingerprint()), "prints")
         own_v = s.table(prints.groupBy("h1", "h2").agg(F.min("key").alias("key")), "own-vectors")
-        own_t = s.table(own, "own-texts")
 
         # a row's classes: by id, by word set (its first row here), by vector (its first row here)
         row_class = (
             inc.where("id IS NOT NULL").select("key", F.lit("i").alias("kind"), F.col("id").alias("cls"))
-            .unionByName(ch.select("key", "s1", "s2").join(own_t.select("s1", "s2", F.col("key").alias("cls")), ["s1", "s2"]).select("key", F.lit("t").alias("kind"), "cls"))
+            .unionByName(ch.select("key", "s1", "s2").join(sets.select("s1", "s2", F.col("key").alias("cls")), ["s1", "s2"]).select("key", F.lit("t").alias("kind"), "cls"))
             .unionByName(prints.join(own_v.withColumnRenamed("key", "cls"), ["h1", "h2"]).select("key", F.lit("v").alias("kind"), "cls"))
         )
         row_class = s.table(row_class, "row-class")
 
-        t_old, t_new = self._text_links(own_t, inc)
+        t_old, t_new = self._text_links(own, inc)
         v_old, v_new = self._vector_links(own_v, inc)
         i_old = self.ids.join(row_class.where("kind = 'i'").select(F.col("cls").alias("id")).distinct(), "id").select(
             F.lit("i").alias("kind"), F.col("id").alias("cls"), "id").distinct()
@@ -198,13 +217,14 @@ class History:
         s = self.scratch
         same = own.select("s1", "s2", F.col("key").alias("cls")).join(self.texts.select("s1", "s2", F.col("key").alias("old")), ["s1", "s2"]).select("cls", "old")
         mine = s.table(prefixes(own, self.common), "own-prefix")
-        cand = mine.withColumnRenamed("key", "cls").join(self.chunk_table.withColumnRenamed("key", "old"), "chunk").select("cls", "old").distinct()
+        table = self.chunk_table
+        cand = mine.join(table, (mine["chunk"] == table["chunk"]) & close_sets(mine, table)).select(mine["key"].alias("cls"), table["key"].alias("old")).distinct()
         cand = s.table(cand, "text-candidates")
         # shared byte totals need the chunks of both sides; only candidates' rows of the history are fetched
         n_cand = cand.count()
-        mine_rows = own.select(F.col("key").alias("cls"), F.col("hashes").alias("h"), F.col("sizes").alias("n"))
-        old_rows = self.texts.join(broadcast_if(cand.select(F.col("old").alias("key")).distinct(), n_cand, rp.SMALL), "key", "left_semi")
-        old_rows = old_rows.select(F.col("key").alias("old"), F.col("hashes").alias("h2"), F.col("sizes").alias("n2"))
+        mine_rows = own.select(F.col("key").alias("cls"), F.col("hashes").alias("h"), F.col("sizes").alias("n"), "need")
+        old_rows = self.chunks.join(broadcast_if(cand.select(F.col("old").alias("key")).distinct(), n_cand, rp.SMALL), "key", "left_semi")
+        old_rows = old_rows.select(F.col("key").alias("old"), F.col("hashes").alias("h2"), F.col("need").alias("need2"))
         near = covered(cand.join(old_rows, "old").join(mine_rows, "cls")).select("cls", "old")
         near = s.table(near, "text-near")
         n_near = near.count()
@@ -220,8 +240,9 @@ class History:
         bar = max(COMMON_ROWS, own.count() // MOST_COMMON)
         common = self.common | {r["chunk"]: r["n"] for r in here.where(F.col("n") > bar).toLocalIterator()}
         mine = s.table(prefixes(own, common), "own-prefix")
-        pair = mine.withColumnRenamed("key", "a").join(mine.withColumnRenamed("key", "b"), "chunk").where("a < b").select("a", "b").distinct()
-        both = pair.join(mine_rows.withColumnRenamed("cls", "a"), "a").join(mine_rows.select(F.col("cls").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2")), "b")
+        y = self.spark.read.schema(mine.schema).parquet(mine._scratch_path)
+        pair = mine.join(y, (mine["chunk"] == y["chunk"]) & (mine["key"] < y["key"]) & close_sets(mine, y)).select(mine["key"].alias("a"), y["key"].alias("b")).distinct()
+        both = pair.join(mine_rows.withColumnRenamed("cls", "a"), "a").join(mine_rows.select(F.col("cls").alias("b"), F.col("h").alias("h2"), F.col("need").alias("need2")), "b")
         near2 = s.table(covered(both).select("a", "b"), "text-near")
         t = near2.join(my_text.select(F.col("cls").alias("a"), "t1"), "a").join(my_text.select(F.col("cls").alias("b"), F.col("t1").alias("t2")), "b")
         new = jaccard_pairs(t.select(F.col("a").alias("cls"), F.col("b").alias("old"), "t1", "t2"))
@@ -287,27 +308,34 @@ class History:
         ok = decided.where("accepted AND id IS NOT NULL").select("key")
         new = s.table(incoming.join(ok, "key").select("key", "id", "text", "vector"), "accepted")
         new = new.withColumn("key", F.col("id"))
-        ch = s.table(one_each(chunk_rows(new), ["s1", "s2"]), "texts")
+        ch = s.table(chunk_rows(new), "chunks")
         good = rp.usable(new, "key", "vector", self.dim)
         leaves = s.table(rp.route(good, self.forest, self.dim, member=True, query=False, probes=0, coarse=True), "leaves")
-        table = s.table(prefixes(ch, self.common), "chunk-to-record")
+        sets, firsts = first_of_sets(ch, s)
+        table = s.table(prefixes(firsts, self.common), "chunk-to-record")
         prints = s.table(good.select(F.col("id").alias("key"), *rp.fingerprint()), "vectors")
         return History(
-            self.spark, s, self.dim, self.records.unionByName(new), self.ids.unionByName(new.select("id")), self.texts.unionByName(ch),
+            self.spark, s, self.dim, self.records.unionByName(new), self.ids.unionByName(new.select("id")), self.texts.unionByName(sets), self.chunks.unionByName(ch),
             self.chunk_table.unionByName(table), self.vectors.unionByName(prints), self.leaves.unionByName(leaves), self.common, self.forest)
 
 
-def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of smallest key of each set equal in ``keys``."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("key")).alias("r")).select(*[F.col(c) if c in keys else F.col(f"r.{c}") for c in rows.columns])
+def first_of_sets(ch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of ``chunk_rows``: ``key, s1, s2`` of the smallest key of each word set, and the rows of these keys. Only signatures
+    are shuffled; the rows of repeated sets are dropped by their keys."""
+    sets = ch.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m"))
+    sets = scratch.table(sets.select("key", "s1", "s2", "m"), "sets")
+    twice = sets.where("m > 1")
+    n = twice.count()
+    if n:
+        twice = broadcast_if(twice.select(F.col("key").alias("first"), "s1", "s2"), n, rp.SMALL)
+        ch = ch.join(twice, ["s1", "s2"], "left").where("first IS NULL OR first = key").drop("first")
+    return sets.drop("m"), ch
 
 
 def covered(pairs: DataFrame) -> DataFrame:
-    """Pairs whose shared chunks hold at least COVERAGE of the bytes of the smaller side."""
-    total = lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x)
+    """Pairs whose shared chunks hold the bytes that both sides must share."""
     shared = F.aggregate(F.zip_with("h", "n", lambda h, n: F.when(F.array_contains(F.col("h2"), h), n).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    return pairs.where(shared >= F.lit(COVERAGE) * F.least(total("n"), total("n2")))
+    return pairs.where(shared >= F.greatest("need", "need2"))
 
 
 def jaccard_pairs(pairs: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
