@@ -9,11 +9,14 @@ from vectide.llm import forest as rp
 from vectide.plans.scratch import Scratch, broadcast_if
 
 DIM = 96
+#: Five copies of each vector are shuffled; with leaves of 8192 rows the ten nearest of the largest test table are found
+#: with a recall of 0.988 (see the README).
+TREES, LEAF_ROWS = 5, 8192
 
 
 def nearest(
     records: DataFrame, k: int = 10, min_cos: float = -1.0, *, id: str = "id", vector: str = "vector", dim: int = DIM,
-    trees: int = rp.TREES, probes: int | None = None, leaf_rows: int = rp.LEAF_ROWS, queries=None,
+    trees: int = TREES, probes: int | None = None, leaf_rows: int = LEAF_ROWS, queries=None,
 ) -> DataFrame:
     """``id, other, cosine, rank``: for every row (or those that the condition ``queries`` on ``id`` picks) its ``k`` most
     similar other rows with a cosine of at least ``min_cos``.
