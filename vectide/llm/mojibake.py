@@ -33,9 +33,12 @@ SUPPORT = 3
 #: A clean form must be in so many times the documents of the garbled one.
 RATIO = 3
 LOST = "�"
+#: Single characters that are familiar in any corpus where Western text was read in a Western encoding.
+WESTERN = frozenset("ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜßàáâãäåæçèéêëìíîïñòóôõöøùúûüÿœŒ¡¿«»“”„‘’–—…€°·©®™")
 
 _RUN = regex.compile(r"[^\x00-\x7f]+")
 _PASSAGE = regex.compile(r"[\r\n]+|(?<=[.!?:;])\s+")
+_CAPITALS = regex.compile("[A-Z]{2}")
 _LETTER = regex.compile("[A-Za-z]")
 _WORD = regex.compile(r"(?:[A-Za-z]|[^\x00-\x7f])*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 
@@ -91,7 +94,7 @@ def undo_utf8(run: str, read: str, familiar: frozenset[str]) -> str | None:
     if not _SCRIPTS.fullmatch(out):
         return None
     if len(out) == 1 or read in ("cp1251", "koi8-r", "cp866"):
-        return out if all(c in familiar for c in out) else None
+        return out if all(c in familiar or (c in WESTERN and read in ("cp1252", "latin-1")) for c in out) else None
     return out
 
 
@@ -320,6 +323,9 @@ def find_garbled(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
                                 memory.clear()
                             memory[run] = _parts(run, reads, familiar)
                         out, n = memory[run]
+                        # a capital and a closing mark ending a word in capitals, as in AMANHÃ», are no small letter
+                        if n and len(out) == 1 and out.islower() and _CAPITALS.search(t, max(0, m.start() - 2), m.start()):
+                            return run
                         most = max(most, n)
                         return out
 
