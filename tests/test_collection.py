@@ -176,6 +176,11 @@ def test_json_bridge(spark, vec, tmp_path):
     (tmp_path / "min.json").write_text('{"records": {"7": {"id": 7, "vector": [1, 2], "text": "x"}}}')
     m = Collection.import_json(spark, f"{tmp_path}/min.json")
     assert m.dimension == 2 and m.index.params is None and m.get(7)["metadata"] == {}
+    (tmp_path / "kind.json").write_text('{"dimension": null, "index_kind": "Exact", "records": {}}')
+    assert Collection.import_json(spark, f"{tmp_path}/kind.json").index.params is None
+    (tmp_path / "odd.json").write_text('{"index_kind": {"Tree": {}}, "records": {}}')
+    with pytest.raises(SerializationError):
+        Collection.import_json(spark, f"{tmp_path}/odd.json")
     (tmp_path / "none.json").write_text("{}")
     assert Collection.import_json(spark, f"{tmp_path}/none.json").is_empty()
     (tmp_path / "bad.json").write_text('{"records": {"8": {"id": 7, "vector": [1, 2], "text": "x"}}}')

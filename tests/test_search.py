@@ -121,3 +121,22 @@ def test_walk_scores_are_exact(spark, vec):
     exact = {r["id"]: r["score"] for r in exact_topk(df, vec(77, 16), 30).collect()}
     assert all(r["score"] == exact[r["id"]] for r in hits.collect())
     assert vm.norm_of([3, 4]) == 5
+
+
+def test_standalone_index(spark, vec):
+    i = nsw.AnnIndex(spark, GraphParams(8, 32, 60))
+    assert i.is_empty() and i.search([1.0], 3).isEmpty()
+    i.insert([(j, vec(j, 16)) for j in range(40)])
+    i.insert(table(spark, [(j, vec(j, 16), "", {}) for j in range(40, 60)]))
+    assert i.count() == 60 and i.dimension == 16
+    assert [i.search(vec(1000 + j, 16), 1).first()["id"] for j in range(3)] == [3, 51, 23]
+    assert i.search_with_ef(vec(1000, 16), 5, 1).count() == 5 and i.search(vec(1, 16), 0).isEmpty()
+    with pytest.raises(DimensionMismatch):
+        i.insert([(99, [1.0])])
+    with pytest.raises(InvalidVector):
+        i.search([], 0)
+    with pytest.raises(InvalidVector, match="greater than zero"):
+        nsw.AnnIndex(spark, dimension=0)
+    back = nsw.AnnIndex.restore(i.rows, i.persisted(), i.params)
+    want = [(r["id"], r["score"]) for r in i.search(vec(7, 16), 5).orderBy("rank").collect()]
+    assert [(r["id"], r["score"]) for r in back.search(vec(7, 16), 5).orderBy("rank").collect()] == want

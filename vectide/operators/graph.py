@@ -12,11 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.errors import Corrupt
 from vectide.functions import vecmath as vm
+from vectide.functions.validate import check_dimension, check_query, check_rows
+from vectide.plans.scratch import Scratch
 from vectide.schema import GraphParams
 
 #: Rows of one shard's graph.
@@ -51,10 +53,11 @@ class ShardGraph:
         first = float(self.sims(q, qn, [0])[0])
         seen = np.zeros(len(self.links), bool)
         seen[0] = True
-        frontier = [(-first, 0)]
+        frontier = [(-first, 0)]  # on ties later nodes are expanded first
         best = [(first, 0)]
         while frontier:
             s, node = heapq.heappop(frontier)
+            node = -node
             if len(best) >= ef and -s < best[0][0]:
                 break
             new = [x for x in self.links[node] if not seen[x]]
@@ -63,7 +66,7 @@ class ShardGraph:
             seen[new] = True
             for v, x in zip(self.sims(q, qn, new).tolist(), new):
                 if len(best) < ef or v > best[0][0]:
-                    heapq.heappush(frontier, (-v, x))
+                    heapq.heappush(frontier, (-v, -x))
                     heapq.heappush(best, (v, x))
                     if len(best) > ef:
                         heapq.heappop(best)
@@ -154,6 +157,61 @@ def walk(graph: DataFrame, queries: list[tuple[int, list[float]]], k: int, param
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+class AnnIndex:
+    """A graph index of its own, apart from any collection. Ids are not checked for repeats; vectors are."""
+
+    def __init__(self, spark: SparkSession, params: GraphParams | None = None, dimension: int | None = None):
+        check_dimension(dimension)
+        self.spark, self.params, self.dimension = spark, params or GraphParams(), dimension
+        self.rows = spark.createDataFrame([], "id long, vector array<float>")
+        self._graph: DataFrame | None = None
+        self._scratch = Scratch(spark, "index")
+
+    def insert(self, rows: DataFrame | list[tuple[int, Sequence[float]]]) -> None:
+        """Adds vectors; an unset dimension is fixed by the first. The graph is built at the next search."""
+        if not isinstance(rows, DataFrame):
+            rows = self.spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in rows], "id long, vector array<float>")
+        rows = rows.select("id", F.col("vector").cast("array<float>").alias("vector"))
+        self.dimension = check_rows(rows, self.dimension)
+        self.rows, self._graph = self.rows.unionByName(rows), None
+
+    def count(self) -> int:
+        return self.rows.count()
+
+    def is_empty(self) -> bool:
+        return self.rows.isEmpty()
+
+    @property
+    def graph(self) -> DataFrame:
+        if self._graph is None:
+            self._graph = self._scratch.table(build(self.rows, self.params, shards=shards_for(self.count())), "graph")
+        return self._graph
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        return self.search_with_ef(query, k, self.params.ef_search)
+
+    def search_with_ef(self, query: Sequence[float], k: int, ef: int) -> DataFrame:
+        """``id, score, rank`` of the ``k`` best of max(ef, k) candidates a shard."""
+        query = check_query(query, self.dimension)
+        if k < 1 or self.is_empty():
+            return self.spark.createDataFrame([], "id long, score float, rank int")
+        return walk(self.graph, [(0, query)], k, self.params, ef).drop("query_id")
+
+    def persisted(self) -> DataFrame:
+        """The graph's structure, without vectors."""
+        return self.graph.select("shard", "node", "id", "neighbors")
+
+    @classmethod
+    def restore(cls, records: DataFrame, links: DataFrame, params: GraphParams | None = None) -> "AnnIndex":
+        """From a structure and the records that it names; a structure that does not fit raises ``Corrupt``."""
+        index = cls(records.sparkSession, params)
+        check_graph(links, records)
+        index.rows = records.select("id", "vector")
+        index.dimension = check_rows(index.rows, None)
+        index._graph = links.join(index.rows, "id").select("shard", "node", "id", "neighbors", "vector")
+        return index
+
+
 def live_hits(hits: DataFrame, tombstones: DataFrame, k: int) -> DataFrame:
     """Hits fetched in excess, without deleted ids, cut to ``k`` a query again."""
     alive = hits.join(tombstones.select("id"), "id", "left_anti")

@@ -132,9 +132,9 @@ def load(spark: SparkSession, path: str) -> Stored:
 
 
 def export_json(spark: SparkSession, path: str, records: DataFrame, dimension: int | None, index: IndexKind) -> None:
-    """One document ``{dimension, index_kind, records: {id: record}}``, for collections that fit the driver; rows are
+    """One document ``{dimension, index_kind, records: {id: record}}`` (kind: "Exact" or {"Hnsw": parameters}), for collections that fit the driver; rows are
     streamed in id order. ``export_json_lines`` is the parallel form."""
-    kind = {"name": index.name} | ({"params": asdict(index.params)} if index.params else {})
+    kind = {"Hnsw": asdict(index.params)} if index.params else "Exact"
     head = json.dumps({"dimension": dimension, "index_kind": kind})
     rows = records.orderBy("id").select("id", F.to_json(F.struct(*RECORD.names)).alias("j")).toLocalIterator()
     body = ",\n".join(f'  "{r["id"]}": {r["j"]}' for r in rows)
@@ -147,7 +147,7 @@ def export_json_lines(records: DataFrame, path: str) -> None:
 
 def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, int | None, IndexKind]:
     """Missing ``records``, ``index_kind`` and ``metadata`` have their defaults. Keys must equal the ids they stand for."""
-    shape = f"dimension int, index_kind struct<name:string,params:struct<max_neighbors:int,ef_construction:int,ef_search:int>>, records map<string,{RECORD.simpleString()}>, _corrupt string"
+    shape = f"dimension int, index_kind string, records map<string,{RECORD.simpleString()}>, _corrupt string"
     if not files.exists(spark, path):
         raise StorageError(f"no such file: {path}")
     doc = spark.read.schema(shape).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -160,13 +160,16 @@ def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, int | None,
         raise SerializationError(f"record under key {wrong[0]['key']} has another id or no vector")
     rows = as_records(e.select("r.*"))
     dimension = check_rows(rows, head[0]["dimension"])
-    kind = head[0]["index_kind"]
-    if kind is None or kind["name"] in (None, "exact"):
-        return rows, dimension, EXACT
-    if kind["name"] != "graph":
-        raise SerializationError(f"unknown index kind {kind['name']}")
-    p = kind["params"]
-    return rows, dimension, graph_index(GraphParams(**p.asDict()) if p else None)
+    return rows, dimension, _kind(head[0]["index_kind"])
+
+
+def _kind(text: str | None) -> IndexKind:
+    if text is None or text == "Exact":
+        return EXACT
+    try:
+        return graph_index(GraphParams(**json.loads(text)["Hnsw"]))
+    except (ValueError, KeyError, TypeError):
+        raise SerializationError(f"unknown index kind {text}") from None
 
 
 __all__ = ["Stored", "export_json", "export_json_lines", "import_json", "load", "read_manifest", "save", "scan"]
