@@ -174,7 +174,8 @@ class History:
         if sets:
             twice = good.select("id", "vector", *rp.fingerprint()).join(broadcast_if(shared.select("h1", "h2", "key"), sets, rp.SMALL), ["h1", "h2"], "left")
             good = twice.where("key IS NULL OR key = id").select("id", "vector")
-        leaves = scratch.table(rp.route(good, forest, dim, member=True, query=False, probes=0, coarse=True), "leaves")
+        leaves = rp.route(good, forest, dim, member=True, query=False, probes=0, coarse=True)
+        leaves = scratch.table(leaves.repartitionByRange("leaf", "id").sortWithinPartitions("leaf"), "leaves")
         ids = rows.select("id")
         return cls(spark, scratch, dim, rows, ids, texts, ch, table, one.select("key", "h1", "h2"), leaves, common, forest)
 
@@ -190,6 +191,7 @@ class History:
         """
         s = self.scratch
         inc = s.table(incoming.select("key", "pos", "id", "text", "vector"), "incoming")
+        self._n = inc.count()  # a batch of up to rp.SMALL keys is sent to the history's tables; only larger ones shuffle them
         ch = s.table(chunk_rows(inc), "chunks")
         sets, own = first_of_sets(ch, s)
         good = rp.usable(inc, "key", "vector", self.dim).withColumnRenamed("id", "key")
@@ -206,7 +208,8 @@ class History:
 
         t_old, t_new = self._text_links(own, inc)
         v_old, v_new = self._vector_links(own_v, inc)
-        i_old = self.ids.join(row_class.where("kind = 'i'").select(F.col("cls").alias("id")).distinct(), "id").select(
+        mine = row_class.where("kind = 'i'").select(F.col("cls").alias("id")).distinct()
+        i_old = self.ids.join(broadcast_if(mine, self._n, rp.SMALL), "id").select(
             F.lit("i").alias("kind"), F.col("id").alias("cls"), "id").distinct()
         old = t_old.unionByName(v_old).unionByName(i_old).groupBy("kind", "cls").agg(F.min("id").alias("old_id"))
         links = t_new.unionByName(v_new)
@@ -215,10 +218,11 @@ class History:
     def _text_links(self, own: DataFrame, inc: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of the word sets ``own``: (kind, cls, id) to accepted ones, (kind, cls, cls2) among themselves."""
         s = self.scratch
-        same = own.select("s1", "s2", F.col("key").alias("cls")).join(self.texts.select("s1", "s2", F.col("key").alias("old")), ["s1", "s2"]).select("cls", "old")
+        mine = broadcast_if(own.select("s1", "s2", F.col("key").alias("cls")), self._n, rp.SMALL)
+        same = self.texts.select("s1", "s2", F.col("key").alias("old")).join(mine, ["s1", "s2"]).select("cls", "old")
         mine = s.table(prefixes(own, self.common), "own-prefix")
-        table = self.chunk_table
-        cand = mine.join(table, (mine["chunk"] == table["chunk"]) & close_sets(mine, table)).select(mine["key"].alias("cls"), table["key"].alias("old")).distinct()
+        table, mine = self.chunk_table, broadcast_if(mine, mine.count(), rp.SMALL)
+        cand = table.join(mine, (mine["chunk"] == table["chunk"]) & close_sets(mine, table)).select(mine["key"].alias("cls"), table["key"].alias("old")).distinct()
         cand = s.table(cand, "text-candidates")
         # shared byte totals need the chunks of both sides; only candidates' rows of the history are fetched
         n_cand = cand.count()
@@ -251,15 +255,16 @@ class History:
     def _vector_links(self, own: DataFrame, inc: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The same for vectors: equal fingerprints, and leaves probed with 8-bit codes, checked exactly."""
         s = self.scratch
-        same = own.select("h1", "h2", F.col("key").alias("cls")).join(self.vectors.withColumnRenamed("key", "old"), ["h1", "h2"]).select("cls", "old")
+        fresh = broadcast_if(own.select("h1", "h2", F.col("key").alias("cls")), self._n, rp.SMALL)
+        same = self.vectors.withColumnRenamed("key", "old").join(fresh, ["h1", "h2"]).select("cls", "old")
         mine = inc.join(own.select("key"), "key").select(F.col("key").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
         mine = s.table(mine, "own-rows")
         asks = s.table(rp.route(mine, self.forest, self.dim, member=False, query=True, probes=PROBES, coarse=True), "asks")
         among = rp.route(mine, self.forest, self.dim, member=True, query=False, probes=0, coarse=True)
-        both = self.leaves.select("leaf", "role", "id", "vector", F.lit(True).alias("old")).unionByName(
-            among.select("leaf", "role", "id", "vector", F.lit(False).alias("old"))).unionByName(
-            asks.select("leaf", "role", "id", "vector", F.lit(False).alias("old")))
-        pairs = s.table(close_pairs(both, self.dim, MIN_COS - COARSE).distinct(), "vector-candidates")
+        near = close_pairs(among.unionByName(asks), self.dim, MIN_COS - COARSE).select("id", "other", F.lit(False).alias("old"))
+        for block in ask_blocks(asks):
+            near = near.unionByName(probe_leaves(self.leaves, block, self.dim, MIN_COS - COARSE).select("id", "other", F.lit(True).alias("old")))
+        pairs = s.table(near.distinct(), "vector-candidates")
         n = pairs.count()
         v2 = self.records.select(F.col("key").alias("other"), F.col("vector").cast("array<float>").alias("y")).join(
             broadcast_if(pairs.where("old").select("other").distinct(), n, rp.SMALL), "other", "left_semi")
@@ -353,26 +358,61 @@ def jaccard_pairs(pairs: DataFrame, least: float = MIN_JACCARD) -> DataFrame:
     return pairs.mapInArrow(run, "cls long, old long")
 
 
+def _close(asks: np.ndarray, members: np.ndarray, at: float):
+    """Pairs of rows (search, member) that are at least ``at`` similar, block by block."""
+    for i in range(0, len(asks), 256):
+        for j in range(0, len(members), 16384):
+            r, c = np.nonzero(asks[i : i + 256] @ members[j : j + 16384].T >= at)
+            yield r + i, c + j
+
+
 def close_pairs(routed: DataFrame, dim: int, at: float) -> DataFrame:
-    """``id, other, old``: each search with every member of its leaf at least ``at`` similar, by 8-bit codes."""
+    """``id, other``: each search with every member of its leaf at least ``at`` similar, by 8-bit codes."""
 
     def run(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
-        old = table.column("old").to_numpy()
         u = rp.unit(rp.matrix(table.column("vector"), dim).astype(np.float32))
         members, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-        for s in range(0, len(asks), 256):
-            q = asks[s : s + 256]
-            for t in range(0, len(members), 16384):
-                m = members[t : t + 16384]
-                r, c = np.nonzero(u[q] @ u[m].T >= at)
-                left.append(q[r])
-                right.append(m[c])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.table({"id": ids[a], "other": ids[b], "old": old[b]})
-
-    return routed.groupBy("leaf").applyInArrow(run, "id long, other long, old boolean")
+        found = [(asks[r], members[c]) for r, c in _close(u[asks], u[members], at)]
+        cat = lambda x: ids[np.concatenate(x)] if x else np.zeros(0, np.int64)
+        return pa.table({"id": cat([a for a, _ in found]), "other": cat([b for _, b in found])})
+
+    return routed.groupBy("leaf").applyInArrow(run, "id long, other long")
+
+
+def ask_blocks(asks: DataFrame) -> list[DataFrame]:
+    """Searches in blocks of at most about rp.SMALL rows (10 MB)."""
+    blocks = max(1, -(-asks.count() // rp.SMALL))
+    return [asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asks]
+
+
+def probe_leaves(leaves: DataFrame, asks: DataFrame, dim: int, at: float) -> DataFrame:
+    """The same for one block of searches against the stored leaves, which are not shuffled: the block is broadcast, and
+    as the table is sorted by leaf, row groups of leaves that nobody asks for are skipped."""
+    got = asks.select("leaf", "id", "vector").toArrow()
+    leaf, ids = got.column("leaf").to_numpy(), got.column("id").to_numpy()
+    order = np.argsort(leaf, kind="stable")
+    probed, start = np.unique(leaf[order], return_index=True)
+    codes = rp.matrix(got.column("vector"), dim)[order] if len(leaf) else np.zeros((0, dim), np.int8)
+    shared = leaves.sparkSession.sparkContext.broadcast((probed, np.append(start, len(leaf)), ids[order], codes))
+
+    def run(batches):
+        probed, start, ids, codes = shared.value
+        for b in batches:
+            here = b.column(0).to_numpy()
+            member, m = b.column(1).to_numpy(), rp.matrix(b.column(2), dim).astype(np.float32)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x in np.unique(here):
+                k = np.searchsorted(probed, x)
+                if k < len(probed) and probed[k] == x:
+                    rows, span = np.flatnonzero(here == x), slice(start[k], start[k + 1])
+                    for r, c in _close(rp.unit(codes[span].astype(np.float32)), rp.unit(m[rows]), at):
+                        left.append(ids[span][r])
+                        right.append(member[rows[c]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["id", "other"])
+
+    wanted = leaves.where(F.col("leaf").isin([int(x) for x in probed])) if len(probed) < 1000 else leaves
+    return wanted.select("leaf", "id", "vector").mapInArrow(run, "id long, other long")
 
 
 def exact_pairs(pairs: DataFrame, dim: int, at: float = MIN_COS) -> DataFrame:
