@@ -58,8 +58,8 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int, where: Mapping[str, str
     for g in range(groups):
         part = q if groups == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g)
         got = part.toArrow()
-        ids = got.column("q").to_numpy()
-        shared = spark.sparkContext.broadcast((ids, got.column("v").to_pylist()))
+        lists = got.column("v").combine_chunks()
+        shared = spark.sparkContext.broadcast((got.column("q").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)))
         parts.append(rows.mapInArrow(_local_best(shared, k, block), "q long, id long, score float"))
     best = parts[0]
     for p in parts[1:]:
@@ -73,10 +73,9 @@ def _local_best(shared, k: int, block: int):
     """Best ``k`` of the rows of one task for each query."""
 
     def run(batches):
-        qid, vectors = shared.value
-        by_len: dict[int, np.ndarray] = {}
-        for i, v in enumerate(vectors):
-            by_len.setdefault(len(v), []).append(i)
+        qid, lengths, values = shared.value
+        ends = np.cumsum(lengths)
+        by_len = {int(d): np.flatnonzero(lengths == d) for d in np.unique(lengths)}
         keep: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -94,7 +93,7 @@ def _local_best(shared, k: int, block: int):
                 chosen = by_len[d]
                 for s in range(0, len(chosen), block):
                     qs = chosen[s : s + block]
-                    m = np.array([vectors[i] for i in qs], np.float32)
+                    m = values[(ends[qs] - d)[:, None] + np.arange(d)]
                     with np.errstate(all="ignore"):
                         total = np.zeros((len(qs), len(x)), np.float32)
                         for c in range(d):
