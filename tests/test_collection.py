@@ -74,6 +74,11 @@ def test_upsert_moves_and_over_fetch(spark):
     assert clone.tombstones == 0 and clone.count() == 7
     c.insert([rec(1, [0.5, 0.5])])
     assert c.count() == 8 and [r["id"] for r in c.search([0.5, 0.5], 8).collect()].count(1) == 1
+    c.delete([5, 6])
+    c.insert([rec(77, [0.2, 0.8])])  # a fresh id leaves tombstones alone
+    assert c.tombstones == 2 and c.count() == 7 and not {5, 6} & {r["id"] for r in c.search([1.0, 0.0], 20).collect()}
+    c.upsert([rec(5, [0.1, 0.9])])  # a deleted id in use again
+    assert c.tombstones == 0 and c.count() == 8
     d = Collection.create(spark)
     d.insert([rec(1, [1.0, 0.0]), rec(2, [-1.0, 0.0])])
     d.upsert([rec(1, [0.0, 1.0])])

@@ -82,19 +82,27 @@ class Collection:
     def _forget_graph(self) -> None:
         self._graph, self._dead, self._n_dead = None, None, 0
 
+    def _added(self, rows: DataFrame, replaced: bool) -> None:
+        """The graph is stale; tombstones are dropped only if a record was replaced or a deleted id is in use again."""
+        self._graph = None
+        if replaced or (self._n_dead and not self._dead.join(rows.select("id"), "id", "left_semi").isEmpty()):
+            self._forget_graph()
+
     def insert(self, rows: DataFrame | Iterable) -> None:
         """Adds records with new ids: all of them or none. A vector's length fixes an unset dimension."""
-        new, dim = mutate.insert(self.records, self._rows(rows), self.dimension)
+        rows = self._rows(rows)
+        new, dim = mutate.insert(self.records, rows, self.dimension)
         self._move(new)
         self.dimension = dim
-        self._forget_graph()
+        self._added(rows, False)
 
     def upsert(self, rows: DataFrame | Iterable) -> None:
         """Adds records or replaces those of the same id whole."""
-        new, dim, _ = mutate.upsert(self.records, self._rows(rows), self.dimension)
+        rows = self._rows(rows)
+        new, dim, replaced = mutate.upsert(self.records, rows, self.dimension)
         self._move(new)
         self.dimension = dim
-        self._forget_graph()
+        self._added(rows, replaced)
 
     def delete(self, ids: DataFrame | Iterable[int] | int) -> DataFrame:
         """Removes records and returns them. The graph keeps their nodes as tombstones until ``compact``."""
@@ -151,7 +159,6 @@ class Collection:
     def _built(self) -> DataFrame:
         if self._graph is None:
             self._graph, self._own_graph = self.build_ann_index(self.index.params), True
-            self._dead, self._n_dead = None, 0
         return self._graph
 
     # ------------------------------------------------------------------------------------------------------ storage
