@@ -185,4 +185,6 @@ def test_farthest_first_and_subsets(spark):
         assert {"big", "small", ""} <= got_topics and 900 in out and any(303 <= i < 305 for i in out)
         assert sum(305 <= i < 455 for i in out) <= 4  # copies are not chosen again
         assert sorted(out) == sorted(r["id"] for r in varied_subset(df.repartition(5), 20, dim=DIM, **kw).collect())
+    many = [r["id"] for r in varied_subset(df, 200, dim=DIM, part_rows=50, pool_most=60).collect()]  # larger than a task may hold
+    assert len(many) == len(set(many)) == 200 and sum(305 <= i < 455 for i in many) < 100
     assert varied_subset(df, 10_000, dim=DIM).count() == 457 and varied_subset(df, 0, dim=DIM).isEmpty()
