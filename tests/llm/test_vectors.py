@@ -143,6 +143,20 @@ def test_clusters_of_blobs(spark, most):
     assert all(sorted(v) == list(range(1, min(3, want[c][1]) + 1)) for c, v in typical.items())
 
 
+@pytest.mark.parametrize("most", [20_000, 10])
+def test_outside_of_dense_clusters(spark, most):
+    """Two clusters whose members have their 16 best inside, with single cosines of 0.75 and more between them."""
+    rng = np.random.default_rng(3)
+    a, b = np.eye(48)[0], 0.74 * np.eye(48)[0] + (1 - 0.74**2) ** 0.5 * np.eye(48)[1]
+    x = np.array([c + 0.15 / 48**0.5 * rng.normal(size=48) for c in (a, b) for _ in range(25)], np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = round(float((u[:25] @ u[25:].T).max()), 6)
+    assert (u[:25] @ u[25:].T).mean() < 0.75 <= want
+    rows = similarity_clusters(frame(spark, x), dim=48, local_most=most).collect()
+    assert {(r["cluster_id"], r["size"]) for r in rows} == {(1, 25), (26, 25)}
+    assert all(r["outside"] == pytest.approx(want, abs=1.1e-6) for r in rows)
+
+
 def test_rounds_equal_pairwise_average_linkage():
     """Merging all mutual pairs at once gives the clusters of merging the single best pair each time."""
 

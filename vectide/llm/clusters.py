@@ -27,6 +27,8 @@ COARSE = 0.012
 NEIGHBOURS = 16
 #: Components up to so many different vectors are clustered in one task (about 60 MB of vectors and similarity blocks).
 LOCAL_MOST = 20_000
+#: Rows of a block where all rows of a larger component are compared (two blocks a task).
+BLOCK_ROWS = 16_384
 
 _OUT = "id long, cluster_id long, fit double, inside double, outside double"
 
@@ -39,7 +41,7 @@ def similarity_clusters(
 
     ``cluster_id`` is the smallest id of the cluster, ``size`` counts its records, ``typical_rank`` is 1..``typical`` for
     the records closest to the cluster's mean (null for others; ties by id). ``inside`` is the smallest cosine between
-    two members, ``outside`` the largest between a member and a linked record outside (-1 if there is none), both exact,
+    two members, ``outside`` the largest between a member and a record of its component outside (-1 if there is none), both exact,
     except that in components beyond ``local_most`` an ``inside`` of 0.8 or more may be a lower bound.
     Copies of a vector belong to the cluster of that vector; a vector that only has copies is a cluster of them. Records
     whose nearest cluster is below the threshold, and rows that ``forest.usable`` leaves out, are in no cluster.
@@ -217,7 +219,7 @@ def _rounds(rows: DataFrame, dim: int, at: float, scratch: Scratch, leaf_rows: i
     forest = rp.learn(rows, count, dim, trees=6, leaf_rows=leaf_rows)
     routed = rp.route(rows, forest, dim, member=True, query=True, probes=6, coarse=False)
     lists = rp.merge_lists(rp.search_leaves(routed, dim, NEIGHBOURS, at, leaf_rows=leaf_rows), NEIGHBOURS)
-    graph = lists.select("id", F.explode("near").alias("e")).select(F.least("id", "e.b").alias("i"), F.greatest("id", "e.b").alias("j"), (-F.col("e.c") / 1e6).alias("cos"))
+    graph = lists.select("id", F.explode("near").alias("e")).select(F.least("id", "e.b").alias("i"), F.greatest("id", "e.b").alias("j"))
     graph = scratch.table(graph.distinct(), "graph")
     unit = rows.select("id", "w", _unit_col("vector").alias("u"))
     unit = scratch.table(unit, "unit")
@@ -247,10 +249,7 @@ def _rounds(rows: DataFrame, dim: int, at: float, scratch: Scratch, leaf_rows: i
         own = scratch.table(moved(own, "c"), "own")
         e = moved(moved(s.select("i", "j"), "i"), "j").where("i != j")
         edges = scratch.table(e.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "edges")
-    # outside: graph edges that leave a cluster; inside: see _inside
-    oi, oj = own.select(F.col("id").alias("i"), F.col("c").alias("ci")), own.select(F.col("id").alias("j"), F.col("c").alias("cj"))
-    leave = graph.join(oi, "i").join(oj, "j").where("ci != cj")
-    leave = leave.select(F.explode(F.array("ci", "cj")).alias("c"), "cos").groupBy("c").agg(F.max("cos").alias("outside"))
+    leave = _outside(rows.select("label", "id", "vector").join(own, "id"), dim)
     fit = unit.join(own, "id").join(nodes.select("c", _unit_col("sum").alias("mean")), "c")
     fit = scratch.table(fit.select("id", "c", "u", F.round(_dot("u", "mean"), 9).alias("fit")), "fit")
     inside = _inside(fit, dim, scratch)
@@ -258,6 +257,45 @@ def _rounds(rows: DataFrame, dim: int, at: float, scratch: Scratch, leaf_rows: i
         "id", F.col("c").alias("cluster_id"), "fit", F.coalesce("inside", F.lit(1.0)).alias("inside"), F.coalesce("outside", F.lit(-1.0)).alias("outside"))
 
 
+def _paired(rows: DataFrame, by: str, key: str, block: int) -> DataFrame:
+    """``rows`` cut into blocks of about ``block`` rows within each ``by``, once for each pair ``b`` (lo, hi) of blocks
+    that their block ``own`` belongs to: the rows of a pair come together in one task."""
+    slots = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(slots, by).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("lo"), F.greatest(x, F.col("own")).alias("hi")))
+    return rows.withColumn("b", F.explode(pair)).drop("blocks")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a pair's two blocks; the same ones twice if a block meets itself."""
+    own, pair = table.column("own").to_numpy(), table.column("b").combine_chunks()
+    return np.flatnonzero(own == pair.field("lo")[0].as_py()), np.flatnonzero(own == pair.field("hi")[0].as_py())
+
+
+def _outside(rows: DataFrame, dim: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """``c, outside``: the largest cosine between a member of a cluster and any row of the component that is in another.
+    All rows of a component are compared, block by block, so the work grows with the square of its size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = rp.matrix(table.column("vector"), dim).astype(np.float64)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        c = table.column("c").to_numpy()
+        a, b = _sides(table)
+        most = np.full(len(u), -1.0)
+        for s in range(0, len(a) if len(b) else 0, 512):
+            i = a[s : s + 512]
+            cos = np.where(c[i][:, None] == c[b][None, :], -1.0, u[i] @ u[b].T)
+            most[i] = np.maximum(most[i], cos.max(1))
+            most[b] = np.maximum(most[b], cos.max(0))
+        cluster, at = np.unique(c, return_inverse=True)
+        out = np.full(len(cluster), -1.0)
+        np.maximum.at(out, at, most)
+        return pa.table({"c": cluster, "outside": np.round(out, 6)})
+
+    pairs = _paired(rows.select("label", "id", "c", "vector"), "label", "id", block)
+    return pairs.groupBy("label", "b").applyInArrow(run, "c long, outside double").groupBy("c").agg(F.max("outside").alias("outside"))
+
+
 def _inside(fit: DataFrame, dim: int, scratch: Scratch, bar: float = 0.8, block: int = 2048) -> DataFrame:
     """``c, inside``: the smallest cosine in each cluster where it is below ``bar``, else a lower bound of at least
     ``bar``. Two members at angles p and q from the mean are at most p + q apart, so only members that could pass
@@ -268,15 +306,11 @@ def _inside(fit: DataFrame, dim: int, scratch: Scratch, bar: float = 0.8, block:
     limit = float(np.arccos(bar))
     bound = wide.select("c", F.greatest(F.lit(bar), F.cos(2 * F.col("most"))).alias("inside"))
     doubt = rows.join(wide.where(2 * F.col("most") > limit), "c").where(F.col("p") + F.col("most") > limit - 1e-6)
-    slots = doubt.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    doubt = doubt.join(slots, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("lo"), F.greatest(x, F.col("own")).alias("hi")))
-    doubt = doubt.select("c", "u", "own", F.explode(pair).alias("b"))
+    doubt = _paired(doubt.select("c", "id", "u"), "c", "id", block).drop("id")
 
     def run(table: pa.Table) -> pa.Table:
         x = table.column("u").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        own, lo, hi = table.column("own").to_numpy(), table.column("b").combine_chunks().field("lo")[0].as_py(), table.column("b").combine_chunks().field("hi")[0].as_py()
-        a, b = x[own == lo], x[own == hi]
+        a, b = (x[side] for side in _sides(table))
         least = min([1.0, *((a[s : s + 512] @ b.T).min() for s in range(0, len(a), 512) if len(b))])
         return pa.table({"c": table.column("c").slice(0, 1), "inside": [float(round(least, 6))]})
 
