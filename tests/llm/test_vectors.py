@@ -179,6 +179,26 @@ def test_rounds_equal_pairwise_average_linkage():
         assert got == plain(u, 0.7)
 
 
+def dense_halves(n):
+    """Two groups of different vectors near two centers: all 16 best of a row are in its group, all pairs >= 0.8."""
+    rng = np.random.default_rng(4)
+    a, b = np.eye(48)[0], 0.9 * np.eye(48)[0] + (1 - 0.81) ** 0.5 * np.eye(48)[1]
+    return np.array([c + 0.05 / 48**0.5 * rng.normal(size=48) for c in (a, b) for _ in range(n)], np.float32)
+
+
+@pytest.mark.parametrize("most", [20_000, 10])
+def test_dense_halves_are_one_cluster(spark, most):
+    rows = similarity_clusters(frame(spark, dense_halves(20)), dim=48, local_most=most).collect()
+    assert {(r["cluster_id"], r["size"], r["outside"]) for r in rows} == {(1, 40, -1.0)} and len(rows) == 40
+
+
+def test_linkage_of_many_equal_and_dense_rows():
+    x = dense_halves(60).astype(np.float64)
+    x = np.concatenate([x, x[:1] * np.linspace(1, 9, 700)[:, None], -x[:5]])  # scaled copies all tie
+    own = linkage(x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(len(x)), 0.75)
+    assert own.tolist() == [0] * 820 + [820] * 5
+
+
 def test_farthest_first_and_subsets(spark):
     rng = np.random.default_rng(1)
     x = rp.unit(rng.normal(size=(50, 6)))

@@ -1,10 +1,10 @@
 """Clusters of mutually similar records by reciprocal-nearest-neighbour average linkage.
 
 A forest on 8-bit vectors links candidates; connected components of these links divide the work, as linkage never
-merges across components. Inside a component every round merges all pairs of clusters that are each other's best
-neighbour on the sparse graph, until the best average falls below the threshold. The average cosine of two clusters is
-the product of their sums of unit vectors over their sizes, so no list of pairs is ever kept. Components beyond
-``local_most`` rows run the same rounds as Spark joins instead of in one task.
+merges across components. Inside a component every round merges pairs of clusters that are each other's best
+neighbour among all its clusters, until the best average falls below the threshold. The average cosine of two clusters is
+the product of their means of unit vectors, so no list of pairs is ever kept. Components beyond
+``local_most`` rows run the same rounds as Spark joins until what can still merge fits one task.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ DIM = 96
 MERGE_AT = 0.75
 #: Error allowed for cosines of 8-bit vectors.
 COARSE = 0.012
-#: Best neighbours of a record that make up the sparse graph.
-NEIGHBOURS = 16
 #: Components up to so many different vectors are clustered in one task (about 60 MB of vectors and similarity blocks).
 LOCAL_MOST = 20_000
 #: Rows of a block where all rows of a larger component are compared (two blocks a task).
@@ -75,7 +73,7 @@ def similarity_clusters(
         rows = scratch.table(rows, "rows")
         small = rows.join(broadcast_if(giant.select("label"), giants, rp.SMALL), "label", "left_anti")
         large = rows.join(broadcast_if(giant.select("label"), giants, rp.SMALL), "label", "left_semi")
-        done = _local(small, dim, merge_at).unionByName(_rounds(large, dim, merge_at, scratch, leaf_rows))
+        done = _local(small, dim, merge_at).unionByName(_rounds(large, dim, merge_at, scratch, local_most))
     else:
         done = _local(rows, dim, merge_at)
     if n_copies:
@@ -132,54 +130,72 @@ def _leaf_stars(routed: DataFrame, dim: int, at: float, leaf_rows: int) -> DataF
     return routed.groupBy("leaf").applyInArrow(run, "id long, root long")
 
 
-def sparse_graph(u: np.ndarray, at: float, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges i < j between each row and its ``k`` best others of at least ``at``."""
-    n, left, right = len(u), [], []
-    for s in range(0, n, 512):
-        c = u[s : s + 512] @ u.T
-        c[np.arange(len(c)), np.arange(s, s + len(c))] = -2
-        w = min(k, n - 1)
-        top = np.argpartition(-c, w - 1, axis=1)[:, :w] if 0 < w < n - 1 else np.tile(np.arange(n), (len(c), 1))
-        r, p = np.nonzero(np.take_along_axis(c, top, 1) >= at)
-        left.append(r + s)
-        right.append(top[r, p])
-    a, b = np.concatenate(left), np.concatenate(right)
-    e = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-    return e // n, e % n
+def partners(q: np.ndarray, m: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``q`` the id of the row of ``m`` with the largest product, of all but itself and the ``dead``, and
+    the product. Of equal ones (1e-12) the id next to its own by exclusive or: equal rows so form many mutual pairs."""
+    best, value = np.empty(len(q), np.int64), np.empty(len(q))
+    for s in range(0, len(q), 256):
+        own = q_ids[s : s + 256]
+        c = q[s : s + 256] @ m.T
+        c[own[:, None] == ids[None, :]] = -2
+        if dead is not None:
+            c[:, dead] = -2
+        top = c.max(1)
+        tie = c >= top[:, None] - 1e-12
+        at = tie.argmax(1)
+        many = np.flatnonzero(tie.sum(1) > 1)
+        at[many] = np.where(tie[many], own[many][:, None] ^ ids[None, :], np.iinfo(np.int64).max).argmin(1)
+        best[s : s + 256], value[s : s + 256] = ids[at], top
+    return best, value
 
 
 def linkage(u: np.ndarray, w: np.ndarray, at: float) -> np.ndarray:
-    """Cluster number (a row's index) of each row. Rounds: find every cluster's best neighbour, merge the mutual pairs."""
+    """Cluster number (a row's index) of each row. Rounds: find best partners among all clusters, merge the mutual pairs.
+
+    An average with a merged cluster is never above the larger of the two before. So a partner stays the best one until it
+    merges itself, a cluster without a partner of at least ``at`` never gets one, and only the merged clusters and those
+    that their search leads to have to be searched for again."""
     n = len(u)
-    own, sums, size = np.arange(n), u * w[:, None], w.astype(np.float64)
-    i, j = sparse_graph(u.astype(np.float32), at - 1e-4)
-    while len(i):
-        sim = np.empty(len(i))
-        for s in range(0, len(i), 65536):
-            p, q = i[s : s + 65536], j[s : s + 65536]
-            sim[s : s + 65536] = np.einsum("ij,ij->i", sums[p], sums[q]) / (size[p] * size[q])
-        ok = sim >= at - 1e-12
-        if not ok.any():
-            break
-        a, b, v = np.concatenate([i[ok], j[ok]]), np.concatenate([j[ok], i[ok]]), np.tile(sim[ok], 2)
-        order = np.lexsort((b, -v, a))
-        first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
-        best = np.full(n, -1)
-        best[a[first]] = b[first]
-        c = np.flatnonzero(best >= 0)
-        low = c[(best[best[c]] == c) & (c < best[c])]
-        if not len(low):
-            break
-        high = best[low]
-        sums[low] += sums[high]
-        size[low] += size[high]
+    own, size, mean, pool = np.arange(n), w.astype(np.float64), u.astype(np.float64), np.arange(n)
+    live, known, best, value, place = np.ones(n, bool), np.zeros(n, bool), np.full(n, -1), np.full(n, -2.0), np.arange(n)
+    todo = pool
+    while live.any():
+        if live.sum() < 0.7 * len(pool):
+            keep = live[pool]
+            pool, mean = pool[keep], mean[keep]
+            place[pool] = np.arange(len(pool))
+        best[todo], value[todo] = partners(mean[place[todo]], mean, todo, pool, np.flatnonzero(~live[pool]))
+        known[todo] = True
+        live[todo[value[todo] < at - 1e-12]] = False
+        todo = todo[live[todo]]
+        c = np.flatnonzero(known & live)
+        a = c[known[best[c]] & live[best[c]] & (best[best[c]] == c) & (c < best[c])]
+        if not len(a):
+            step = np.unique(best[todo])
+            for _ in range(64):
+                if not known[step].any():
+                    break
+                step = np.unique(np.where(known[step], best[step], step))
+            todo = step[~known[step] & live[step]]
+            if not len(todo):
+                todo = np.flatnonzero(live & ~known)
+            if len(todo) or not live.any():
+                continue
+            c = np.flatnonzero(live & live[best])  # a ring of averages that differ by rounding only
+            if not len(c):
+                break
+            a = c[[value[c].argmax()]]
+        low, high = np.minimum(a, best[a]), np.maximum(a, best[a])
+        total = size[low] + size[high]
+        mean[place[low]] = (mean[place[low]] * size[low, None] + mean[place[high]] * size[high, None]) / total[:, None]
+        size[low], live[high] = total, False
+        merged = np.zeros(n, bool)
+        merged[low] = merged[high] = True
+        known &= ~(merged | merged[best])
         to = np.arange(n)
         to[high] = low
         own = to[own]
-        i, j = to[i], to[j]
-        keep = i != j
-        e = np.unique(np.minimum(i[keep], j[keep]) * n + np.maximum(i[keep], j[keep]))
-        i, j = e // n, e % n
+        todo = low
     return own
 
 
@@ -213,42 +229,55 @@ def _unit_col(v: str):
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def _rounds(rows: DataFrame, dim: int, at: float, scratch: Scratch, leaf_rows: int) -> DataFrame:
-    """The rounds as joins, for components too large for a task."""
-    count = rows.count()
-    forest = rp.learn(rows, count, dim, trees=6, leaf_rows=leaf_rows)
-    routed = rp.route(rows, forest, dim, member=True, query=True, probes=6, coarse=False)
-    lists = rp.merge_lists(rp.search_leaves(routed, dim, NEIGHBOURS, at, leaf_rows=leaf_rows), NEIGHBOURS)
-    graph = lists.select("id", F.explode("near").alias("e")).select(F.least("id", "e.b").alias("i"), F.greatest("id", "e.b").alias("j"))
-    graph = scratch.table(graph.distinct(), "graph")
-    unit = rows.select("id", "w", _unit_col("vector").alias("u"))
+def _best_partners(nodes: DataFrame, dim: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """``c, b, sim``: each cluster's best partner of all clusters of its component, compared in pairs of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        mean = table.column("mean").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        c = table.column("c").to_numpy()
+        a, b = _sides(table)
+        sides = [(a, b)] if np.array_equal(a, b) else [(a, b), (b, a)]
+        got = [(c[x], *partners(mean[x], mean[y], c[x], c[y])) for x, y in sides if len(x) and len(y)]
+        cat = lambda k, kind: np.concatenate([np.zeros(0, kind), *(g[k] for g in got)])
+        return pa.table({"c": cat(0, np.int64), "b": cat(1, np.int64), "sim": np.round(cat(2, np.float64), 12)})
+
+    found = _paired(nodes.select("label", "c", "mean"), "label", "c", block).groupBy("label", "b").applyInArrow(run, "c long, b long, sim double")
+    found = found.groupBy("c").agg(F.max(F.struct("sim", (-F.col("c").bitwiseXOR(F.col("b"))).alias("near"), "b")).alias("m"))
+    return found.select("c", "m.b", "m.sim")
+
+
+def _rounds(rows: DataFrame, dim: int, at: float, scratch: Scratch, local_most: int) -> DataFrame:
+    """The rounds as joins, for components too large for a task, until the clusters that can still merge fit one."""
+    unit = rows.select("label", "id", "w", _unit_col("vector").alias("u"))
     unit = scratch.table(unit, "unit")
-    edges = graph.select("i", "j")
-    nodes = unit.select(F.col("id").alias("c"), F.transform("u", lambda x: x * F.col("w")).alias("sum"), F.col("w").alias("size"))
+    nodes = unit.select("label", F.col("id").alias("c"), F.col("u").alias("mean"), F.col("w").cast("double").alias("size"))
     own = unit.select("id", F.col("id").alias("c"))
-    while True:
-        s = edges.join(nodes.select(F.col("c").alias("i"), F.col("sum").alias("si"), F.col("size").alias("ni")), "i")
-        s = s.join(nodes.select(F.col("c").alias("j"), F.col("sum").alias("sj"), F.col("size").alias("nj")), "j")
-        s = s.select("i", "j", (_dot("si", "sj") / (F.col("ni") * F.col("nj"))).alias("sim")).where(F.col("sim") >= at - 1e-12)
-        s = scratch.table(s, "sims")
-        both = s.select(F.col("i").alias("a"), F.col("j").alias("b"), "sim").unionByName(s.select(F.col("j").alias("a"), F.col("i").alias("b"), "sim"))
-        best = both.groupBy("a").agg(F.max_by("b", F.struct("sim", -F.col("b"))).alias("b"))
-        best = scratch.table(best, "best")
-        back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-        merge = scratch.table(best.join(back, ["a", "b"]).where("a < b").select(F.col("b").alias("from"), F.col("a").alias("to")), "merge")
-        if not merge.limit(1).count():
-            break
-
-        def moved(df: DataFrame, column: str) -> DataFrame:
-            m = df.join(merge, df[column] == merge["from"], "left")
-            return m.withColumn(column, F.coalesce("to", column)).drop("from", "to")
-
-        kept = moved(nodes, "c")
-        sums = F.array(*[F.sum(F.col("sum")[x]) for x in range(dim)])
-        nodes = scratch.table(kept.groupBy("c").agg(sums.alias("sum"), F.sum("size").alias("size")), "nodes")
-        own = scratch.table(moved(own, "c"), "own")
-        e = moved(moved(s.select("i", "j"), "i"), "j").where("i != j")
-        edges = scratch.table(e.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "edges")
+
+    def moved(df: DataFrame, merge: DataFrame) -> DataFrame:
+        m = df.join(merge, df["c"] == merge["from"], "left")
+        return m.withColumn("c", F.coalesce("to", "c")).drop("from", "to")
+
+    while (nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0) > local_most:
+        best = scratch.table(_best_partners(nodes, dim).where(F.col("sim") >= at - 1e-12), "best")
+        back = best.select(F.col("b").alias("c"), F.col("c").alias("b"))
+        merge = scratch.table(best.join(back, ["c", "b"]).where("c < b").select(F.col("b").alias("from"), F.col("c").alias("to")), "merge")
+        if not merge.limit(1).count():  # none left, or a ring of averages that differ by rounding only
+            first = best.orderBy(F.desc("sim"), "c").limit(1)
+            merge = scratch.table(first.select(F.greatest("c", "b").alias("from"), F.least("c", "b").alias("to")), "merge")
+        kept = moved(nodes.join(best.select("c"), "c", "left_semi"), merge)
+        mean = F.array(*[F.sum(F.col("mean")[x] * F.col("size")) / F.sum("size") for x in range(dim)])
+        nodes = scratch.table(kept.groupBy("label", "c").agg(mean.alias("mean"), F.sum("size").alias("size")), "nodes")
+        own = scratch.table(moved(own, merge), "own")
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by("c")
+        c = table.column("c").to_numpy()
+        mean = table.column("mean").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return pa.table({"from": c, "to": c[linkage(mean, table.column("size").to_numpy(), at)]})
+
+    own = scratch.table(moved(own, nodes.groupBy("label").applyInArrow(finish, "from long, to long")), "own")
+    sums = F.array(*[F.sum(F.col("u")[x] * F.col("w")) for x in range(dim)])
+    nodes = unit.join(own, "id").groupBy("c").agg(sums.alias("sum"))
     leave = _outside(rows.select("label", "id", "vector").join(own, "id"), dim)
     fit = unit.join(own, "id").join(nodes.select("c", _unit_col("sum").alias("mean")), "c")
     fit = scratch.table(fit.select("id", "c", "u", F.round(_dot("u", "mean"), 9).alias("fit")), "fit")
