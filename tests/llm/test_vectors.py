@@ -70,6 +70,21 @@ def test_a_third_are_copies(spark):
     assert {a: [b for b, _ in v] for a, v in got.items()} == {a: [b for b, _ in v] for a, v in want.items()}
 
 
+def test_many_scaled_copies_rank_by_id(spark):
+    x = blobs([20])
+    x = np.concatenate([x, x[:1] * np.random.default_rng(1).uniform(0.5, 3, (300, 1))]).astype(np.float32)
+    ids = random.Random(0).sample(range(1, 1000), len(x))
+    got = lists(nearest(frame(spark, x, ids), 4, 0.6, dim=DIM))
+    assert {a: [b for b, _ in v] for a, v in got.items()} == {a: [b for b, _ in v] for a, v in brute(x, ids, 4, 0.6).items()}
+
+
+def test_planes_do_not_part_scaled_copies():
+    for seed in range(10):
+        scale = np.random.default_rng(1).uniform(0.5, 3, (500, 1)).astype(np.float32)
+        u = rp.unit(np.concatenate([blobs([300], seed=seed, spread=2), blobs([1], seed=50 + seed) * scale]))
+        assert len(set(rp.fit_tree(u, 100, 7).costs(u).argmin(1)[300:].tolist())) == 1
+
+
 def test_forest_recall_and_probes(spark):
     x = blobs([25] * 60, seed=3)
     df = frame(spark, x)

@@ -27,6 +27,8 @@ MIN_SAMPLE_LEAF = 16
 #: is split further inside its own task.
 LEAF_ROWS = 4096
 TREES = 4
+#: Cosines in single precision that are closer than this may be equal in millionths.
+TIED = 5e-6
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
 SMALL = 100_000
 
@@ -77,6 +79,8 @@ def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
                 w = w / norm
                 m = x[rows] @ w
                 cut = np.median(m)
+                if (np.abs(m - cut) < TIED).sum() > 8 + len(rows) // 100:  # scaled copies: rounding must not part them
+                    cut = cut - 2 * TIED if (m < cut - 2 * TIED).any() else cut + 2 * TIED
                 low = m < cut
                 if not 0 < low.sum() < len(rows):
                     continue
@@ -265,7 +269,14 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
                 some = np.flatnonzero(many)
                 s = s[some]
                 top = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(some), 1))
-                ok = np.take_along_axis(s, top, 1) >= min_cos - slack
+                near = np.take_along_axis(s, top, 1)
+                ok = near >= min_cos - slack
+                if slack <= 1e-3 and wide == k + 6 < len(members):  # more may tie with the k-th than were taken
+                    bar = np.partition(near, wide - k, axis=1)[:, wide - k]
+                    crowd = np.flatnonzero((near.min(1) >= bar - TIED) & ok.all(1))
+                    if len(crowd):
+                        top[crowd, :k] = _best_of_ties(raw, ids, q[some[crowd]], members, k)
+                        ok[crowd, k:] = False
                 r, c = np.nonzero(ok)
                 left, right = q[some[r]], members[top[r, c]]
                 cos = exact_cosines(raw[left], raw[right]) if slack <= 1e-3 else np.take_along_axis(s, top, 1)[ok]
@@ -289,6 +300,24 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
     return routed.groupBy("leaf").applyInArrow(run, _FOUND)
 
 
+def _best_of_ties(raw: np.ndarray, ids: np.ndarray, asks: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
+    """Places in ``members`` of the ``k`` best of each search by cosine in millionths (double precision) and smaller id."""
+    def double(rows):
+        x = raw[rows].astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    n, m = len(members), double(members)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(ids[members], kind="stable")] = np.arange(n)
+    out = np.empty((len(asks), k), np.int64)
+    for s in range(0, len(asks), 32):
+        q = asks[s : s + 32]
+        micro = np.rint(double(q) @ m.T * 1e6).astype(np.int64)
+        micro[ids[q][:, None] == ids[members][None, :]] = -2_000_000
+        out[s : s + 32] = np.argpartition(rank - micro * n, k - 1, axis=1)[:, :k]
+    return out
+
+
 def _parts(u: np.ndarray, most: int):
     """Row numbers of a leaf, split further by a tree of its own if the leaf has outgrown ``most``."""
     if len(u) <= most:
