@@ -82,7 +82,7 @@ def test_planes_do_not_part_scaled_copies():
     for seed in range(10):
         scale = np.random.default_rng(1).uniform(0.5, 3, (500, 1)).astype(np.float32)
         u = rp.unit(np.concatenate([blobs([300], seed=seed, spread=2), blobs([1], seed=50 + seed) * scale]))
-        assert len(set(rp.fit_tree(u, 100, 7).costs(u).argmin(1)[300:].tolist())) == 1
+        assert len(set(rp.Forest([rp.fit_tree(u, 100, 7)]).search(u, 1)[300:, 0].tolist())) == 1
 
 
 def test_forest_recall_and_probes(spark):
@@ -100,17 +100,64 @@ def test_forest_recall_and_probes(spark):
     assert hit / sum(len(want[a]) for a in part) >= 0.9
 
 
-def test_queue_pops_near_leaves_first():
+def costs(f: rp.Forest, x: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
+    """Of each leaf, by walking all trees: its cost to one row, and the planes on the path to it."""
+    cost, path = np.zeros(f.first[-1]), [set() for _ in range(f.first[-1])]
+    todo = [(int(r), 0.0, set()) for r in f.roots]
+    while todo:
+        node, c, above = todo.pop()
+        if node < 0:
+            cost[-1 - node], path[-1 - node] = c, above
+            continue
+        m = float(x @ f.normals[node] - f.offsets[node])
+        todo += [(int(f.below[node]), max(c, m), above | {node}), (int(f.above[node]), max(c, -m), above | {node})]
+    return cost, path
+
+
+def test_queue_pops_the_nearest_leaves_and_looks_at_no_other_node():
     x = rp.unit(blobs([20] * 20, seed=5))
     f = rp.fit_forest(x, 4000, trees=3, leaf_rows=200)
-    own, probe = f.own(x), f.probe(x, 9)
-    costs = np.concatenate([t.costs(x) for t in f.trees], 1)
-    along = np.take_along_axis(costs, probe, 1)
-    assert (np.diff(along, axis=1) >= 0).all()
-    assert (along[:, :3] == 0).all() and (np.take_along_axis(costs, own, 1) == 0).all()
-    assert all(len(set(p)) == 9 for p in probe.tolist())
+    got = f.search(x, 9)
+    assert all(len(set(p)) == 9 for p in got.tolist())
+    for i in range(0, len(x), 37):
+        cost, path = costs(f, x[i])
+        along = cost[got[i]]
+        assert np.allclose(along, np.sort(cost)[:9], atol=1e-6) and (along[:3] == 0).all()
+        assert [int(np.searchsorted(f.first, leaf, "right")) for leaf in got[i, :3]] == [1, 2, 3]
+        popped = set().union(*(path[leaf] for leaf in got[i]))
+        assert len(popped) < len(f.offsets)
+        blind = rp.Forest(f.trees)
+        blind.normals[[p for p in range(len(f.offsets)) if p not in popped]] = np.nan
+        assert (blind.search(x[i : i + 1], 9) == got[i]).all()
     small = rp.fit_forest(x[:3], 3, trees=2)
-    assert (small.probe(x[:3], 5)[:, 2:] == -1).all()
+    assert (small.search(x[:3], 5)[:, 2:] == -1).all()
+
+
+def test_more_probes_than_trees_find_more(spark):
+    """The rows of the search come through the queue: leaves beyond a row's own ones add neighbours."""
+    x = blobs([25] * 60, seed=3, spread=0.5)
+    want = brute(x, list(range(1, len(x) + 1)), 10, 0.6)
+
+    def recall(probes):
+        got = lists(nearest(frame(spark, x), 10, 0.6, dim=DIM, leaf_rows=100, trees=2, probes=probes))
+        return sum(len({b for b, _ in v} & {b for b, _ in want[a]}) for a, v in got.items()) / sum(map(len, want.values()))
+
+    assert recall(2) < recall(6) <= 1
+    with pytest.raises(ValueError):
+        nearest(frame(spark, x), 10, dim=DIM, trees=3, probes=2)
+
+
+def test_large_leaves_are_split_before_rows_move(spark, monkeypatch):
+    """A sample that allows two leaves a tree: the subtrees are fitted in parallel and no leaf outgrows twice its size."""
+    monkeypatch.setattr(rp, "MIN_SAMPLE_LEAF", 32)
+    x = blobs([40] * 100, seed=8, spread=0.5)
+    df = frame(spark, x).select("id", "vector")
+    f = rp.learn(df, len(x), DIM, trees=2, leaf_rows=200, sample_rows=64)
+    assert f.first[-1] > 20
+    held = rp.route(df, f, DIM, member=True, query=False, probes=0, coarse=False).groupBy("leaf").count().collect()
+    assert sum(r["count"] for r in held) == 2 * len(x) and max(r["count"] for r in held) <= 400
+    cost, path = costs(f, x[0])
+    assert all(path)  # each leaf hangs under a plane
 
 
 def test_repeated_ids_and_empty(spark):

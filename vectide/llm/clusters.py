@@ -325,7 +325,7 @@ def _outside(rows: DataFrame, dim: int, block: int = BLOCK_ROWS) -> DataFrame:
     return pairs.groupBy("label", "b").applyInArrow(run, "c long, outside double").groupBy("c").agg(F.max("outside").alias("outside"))
 
 
-def _inside(fit: DataFrame, dim: int, scratch: Scratch, bar: float = 0.8, block: int = 2048) -> DataFrame:
+def _inside(fit: DataFrame, dim: int, scratch: Scratch, bar: float = 0.8, block: int = BLOCK_ROWS) -> DataFrame:
     """``c, inside``: the smallest cosine in each cluster where it is below ``bar``, else a lower bound of at least
     ``bar``. Two members at angles p and q from the mean are at most p + q apart, so only members that could pass
     acos(bar) together with the cluster's widest are compared, in blocks; no pairs are emitted."""

@@ -1,15 +1,16 @@
 """Forest of random-projection trees over vectors.
 
 The hyperplanes are fitted on a bounded sample and broadcast (size bound below); every row is routed. A row's leaves are
-taken through one priority queue shared by all trees: a leaf's priority is the largest distance by which the path to it
-crosses a hyperplane to the wrong side, so the row's own leaf of each tree comes first and leaves behind near planes
-follow. One shuffle brings rows and their searches together by leaf; inside a leaf all candidates are reranked by exact
-cosines. Exact copies of a vector are collapsed before, so a leaf can't be flooded by one vector.
+taken through one priority queue shared by all trees, best first over their nodes: a node's priority is the largest
+distance by which the path to it crosses a hyperplane to the wrong side, so the row's own leaf of each tree comes first
+and leaves behind near planes follow. One shuffle brings rows and their searches together by leaf; inside a leaf all
+candidates are reranked by exact cosines. Exact copies of a vector are collapsed before, so a leaf can't be flooded by one
+vector.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,10 @@ from vectide.plans.scratch import Scratch, broadcast_if
 SAMPLE_ROWS = 32_768
 #: Fewest sample rows in a leaf: a forest has at most TREES * SAMPLE_ROWS / MIN_SAMPLE_LEAF planes (3 MB at 96 components).
 MIN_SAMPLE_LEAF = 16
-#: Rows that a leaf should hold. A leaf that outgrows twice this, once SAMPLE_ROWS / MIN_SAMPLE_LEAF leaves are full,
-#: is split further inside its own task.
+#: Most bytes of a forest whose leaves are split further by trees of their own; beyond it (1.2 billion rows at leaves of
+#: 8192 rows and five trees) leaves grow with the data again.
+FOREST_BYTES = 256 << 20
+#: Rows that a leaf should hold. A leaf that holds more than twice as many all the same is split inside its own task.
 LEAF_ROWS = 4096
 TREES = 4
 #: Cosines in single precision that are closer than this may be equal in millionths.
@@ -41,23 +44,6 @@ class Tree:
     above: np.ndarray
     leaves: int
 
-    def costs(self, x: np.ndarray) -> np.ndarray:
-        """Rows x leaves: the largest violation on the path to each leaf; 0 only for the row's own leaf."""
-        out = np.zeros((len(x), self.leaves), np.float32)
-        if not len(self.offsets):
-            return out
-        m = x @ self.normals.T - self.offsets
-        todo = [(0, np.zeros(len(x), np.float32))]
-        while todo:
-            node, cost = todo.pop()
-            side = m[:, node]
-            for child, c in ((self.below[node], np.maximum(cost, side)), (self.above[node], np.maximum(cost, -side))):
-                if child < 0:
-                    out[:, -1 - child] = c
-                else:
-                    todo.append((child, c))
-        return out
-
 
 def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
     """Splits by planes between two random rows at the median. Of ``tries`` planes the one with the fewest rows close
@@ -104,28 +90,54 @@ def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
 
 
 class Forest:
+    """The trees in one set of arrays: planes and leaves are numbered through all trees."""
+
     def __init__(self, trees: list[Tree]):
         self.trees = trees
-        self.first = np.cumsum([0] + [t.leaves for t in trees])  # leaf ids run through all trees
-
-    def own(self, x: np.ndarray) -> np.ndarray:
-        """Rows x trees: each row's leaf in each tree."""
-        return np.stack([t.costs(x).argmin(1) + f for t, f in zip(self.trees, self.first)], 1)
-
-    def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """Rows x probes: leaves in the order of the queue shared by all trees, -1 where there are fewer."""
-        costs = np.concatenate([t.costs(x) for t in self.trees], 1)
-        out = np.full((len(x), probes), -1, np.int64)
-        take = min(probes, costs.shape[1])
-        if take < costs.shape[1]:
-            part = np.argpartition(costs, take - 1, axis=1)[:, :take]
-        else:
-            part = np.broadcast_to(np.arange(take), (len(x), take))
-        for i, row in enumerate(part):  # the queue holds only what can be popped
-            queue = [(costs[i, leaf], leaf) for leaf in row]
-            heapq.heapify(queue)
-            for j in range(take):
-                out[i, j] = heapq.heappop(queue)[1]
+        self.first = np.cumsum([0] + [t.leaves for t in trees])
+        planes = np.cumsum([0] + [len(t.offsets) for t in trees])
+        self.roots = np.array([p if len(t.offsets) else -1 - f for t, p, f in zip(trees, planes, self.first)], np.int32)
+        self.normals = np.concatenate([t.normals for t in trees])
+        self.offsets = np.concatenate([t.offsets for t in trees])
+        shift = lambda child, p, f: np.where(child < 0, child - f, child + p)
+        self.below, self.above = (
+            np.concatenate([shift(side(t), p, f) for t, p, f in zip(trees, planes, self.first)]).astype(np.int32)
+            for side in (lambda t: t.below, lambda t: t.above))
+
+    def search(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Rows x probes: the leaves of each row in the order of one priority queue over the nodes of all trees, -1 where
+        there are fewer. The queue starts with the roots. The node of least cost is popped and followed down to a leaf on
+        the row's side of each plane; the other sides are pushed at the largest distance by which their path crosses a
+        plane to the wrong side. Nodes that are never popped are never looked at. Rows take their steps together: a column
+        of ``cost`` and ``node`` is a place in every row's queue. As roots cost nothing, a row's own leaf of every tree
+        comes first, in the order of the trees."""
+        n, trees = len(x), len(self.roots)
+        out = np.full((n, probes), -1, np.int64)
+        cost = np.full((n, trees + 16), np.inf, np.float32)
+        node = np.zeros(cost.shape, np.int32)
+        cost[:, :trees], node[:, :trees] = 0, self.roots
+        fill, every = np.full(n, trees), np.arange(n)
+        for p in range(probes):
+            place = cost[:, : fill.max(initial=trees)].argmin(1)
+            paid, at = cost[every, place], node[every, place]
+            cost[every, place] = np.inf
+            rows = np.flatnonzero(np.isfinite(paid))
+            paid, at = paid[rows], at[rows]
+            while len(rows):
+                inner = at >= 0
+                out[rows[~inner], p] = -1 - at[~inner]
+                rows, paid, at = rows[inner], paid[inner], at[inner]
+                if not len(rows):
+                    break
+                side = np.einsum("ij,ij->i", x[rows], self.normals[at]) - self.offsets[at]
+                low, to = side < 0, fill[rows]
+                if to.max() >= cost.shape[1]:
+                    cost = np.concatenate([cost, np.full((n, 32), np.inf, np.float32)], 1)
+                    node = np.concatenate([node, np.zeros((n, 32), np.int32)], 1)
+                cost[rows, to] = np.maximum(paid, np.abs(side))
+                node[rows, to] = np.where(low, self.above[at], self.below[at])
+                fill[rows] += 1
+                at = np.where(low, self.below[at], self.above[at])
         return out
 
 
@@ -137,19 +149,50 @@ def fit_forest(x: np.ndarray, rows: int, *, trees: int = TREES, leaf_rows: int =
     return Forest([fit_tree(x, leaf, seed + t) for t in range(trees)])
 
 
+def graft(tree: Tree, subtrees: dict[int, Tree]) -> Tree:
+    """``tree`` with some leaves replaced by trees of their own; leaves are numbered anew."""
+    normals, offsets = [tree.normals], [tree.offsets]
+    below, above, planes, leaves, to = [], [], len(tree.offsets), 0, {}
+    for old in range(tree.leaves):
+        t = subtrees.get(old)
+        if t is None or not len(t.offsets):
+            to[old], leaves = -1 - leaves, leaves + 1
+            continue
+        to[old] = planes
+        normals.append(t.normals)
+        offsets.append(t.offsets)
+        for side, children in ((below, t.below), (above, t.above)):
+            side.append(np.where(children < 0, children - leaves, children + planes))
+        planes, leaves = planes + len(t.offsets), leaves + t.leaves
+    first = [np.array([to[-1 - c] if c < 0 else c for c in side], int) for side in (tree.below, tree.above)]
+    return Tree(np.concatenate(normals), np.concatenate(offsets), np.concatenate([first[0], *below]), np.concatenate([first[1], *above]), leaves)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     return (x / np.where(n > 0, n, 1)).astype(np.float32)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows x ``dim``: floats from arrays or bytes, 8-bit codes from bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), dim)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        if not len(column):
+            return np.zeros((0, dim), np.float32)
+        offsets = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        return raw.view(np.float32 if len(raw) == 4 * dim * len(column) else np.int8).reshape(len(column), dim)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), dim)
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows as bytes."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
 def usable(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
     """``id, vector`` of rows with an id and a finite vector of ``dim`` components that is not zero."""
     v = F.col("vector")
@@ -192,16 +235,39 @@ def sample(rows: DataFrame, count: int, most: int = SAMPLE_ROWS) -> tuple[np.nda
     return got.column(0), count
 
 
-def learn(rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> Forest:
-    column, _ = sample(rows, count)
+def learn(rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Forest:
+    """A forest for ``rows`` (id, vector). Where the sample is too small for leaves of ``leaf_rows``, the leaves' own
+    subtrees are fitted in parallel, on every (leaf_rows / MIN_SAMPLE_LEAF)-th row, before any row is brought to its leaf."""
+    column, _ = sample(rows, count, sample_rows)
     x = unit(matrix(column, dim)) if len(column) else np.zeros((0, dim), np.float32)
-    return fit_forest(x, count, trees=trees, leaf_rows=leaf_rows)
+    forest = fit_forest(x, count, trees=trees, leaf_rows=leaf_rows)
+    wanted = max(leaf_rows, count * trees * 4 * (dim + 4) // FOREST_BYTES)  # rows a leaf that the forest's size allows
+    if count * MIN_SAMPLE_LEAF <= 2 * wanted * max(len(x), 1):
+        return forest
+    spread = max(1, wanted // MIN_SAMPLE_LEAF)
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(spread)) == 0)
+
+    def fit(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        tree = fit_tree(unit(matrix(table.column("vector"), dim)), max(1, wanted // spread), leaf)
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    fitted = route(some, forest, dim, member=True, query=False, probes=0, coarse=False).groupBy("leaf").applyInArrow(fit, "leaf int, tree binary")
+    deep = {r["leaf"]: pickle.loads(r["tree"]) for r in fitted.collect()}  # FOREST_BYTES at most
+    return Forest([graft(t, {x - f: deep[x] for x in range(f, f + t.leaves) if x in deep}) for t, f in zip(forest.trees, forest.first)])
 
 
 def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: bool, probes: int, coarse: bool) -> DataFrame:
     """``leaf, role, id, vector`` with a row for each leaf in which ``rows`` are members, are searched for, or both
-    (role 1, 2, 3). ``coarse`` stores 8 bits a component, for candidates that are checked elsewhere."""
+    (role 1, 2, 3). Members are in their own leaf of each tree; ``probes`` leaves are searched. Vectors are bytes: floats
+    as stored, or with ``coarse`` 8 bits a component, for candidates that are checked elsewhere."""
+    trees = len(forest.roots)
+    if member and query and probes < trees:
+        raise ValueError("members search at least their own leaf of each tree")
     shared = rows.sparkSession.sparkContext.broadcast(forest)
+    role = np.full(probes if query else trees, 2 if query else 1, np.int8)
+    if member and query:
+        role[:trees] = 3
 
     def run(batches):
         f: Forest = shared.value
@@ -210,40 +276,21 @@ def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: boo
                 part = b.slice(at, 4096)
                 x = matrix(part.column(1), dim)
                 u = unit(x)
-                own = f.own(u)
-                if coarse:
-                    codes = np.rint(u * (127 / np.abs(u).max(1, keepdims=True))).astype(np.int8)
-                    vec = pa.array([r.tobytes() for r in codes], pa.binary())
-                else:
-                    vec = part.column(1)
-                leaves = own
-                role = np.full(own.shape, (1 if member else 0) | (2 if query and probes >= own.shape[1] else 0), np.int8)
-                if query and probes != own.shape[1]:
-                    if not member:
-                        leaves, role = f.probe(u, probes), None
-                        role = np.full(leaves.shape, 2, np.int8)
-                    elif probes > own.shape[1]:
-                        more = f.probe(u, probes)
-                        more[(more[:, :, None] == own[:, None, :]).any(2)] = -1
-                        leaves = np.concatenate([own, more], 1)
-                        role = np.concatenate([role, np.full(more.shape, 2, np.int8)], 1)
-                    else:
-                        raise ValueError("members search at least their own leaf of each tree")
+                leaves = f.search(u, len(role))
+                vec = np.rint(u * (127 / np.abs(u).max(1, keepdims=True))).astype(np.int8) if coarse else x
                 i, j = np.nonzero(leaves >= 0)
-                at_rows = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves[i, j].astype(np.int32)), pa.array(role[i, j], pa.int8()), part.column(0).take(at_rows), vec.take(at_rows)],
+                    [pa.array(leaves[i, j].astype(np.int32)), pa.array(role[j], pa.int8()), part.column(0).take(pa.array(i)), packed(vec[i])],
                     names=["leaf", "role", "id", "vector"])
 
-    kind = "binary" if coarse else "array<float>"
-    return rows.select("id", "vector").mapInArrow(run, f"leaf int, role byte, id long, vector {kind}")
+    return rows.select("id", "vector").mapInArrow(run, "leaf int, role byte, id long, vector binary")
 
 
-_FOUND = "id long, near array<struct<c:int,b:long>>"
+_FOUND = "id long, c array<int>, b array<long>"
 
 
 def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack: float = 1e-4, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``id, near``: each search's ``k`` best members of a leaf, as (-cosine in millionths, id). With 8-bit vectors the
+    """``id, c, b``: each search's ``k`` best members of a leaf, as -cosines in millionths and ids. With 8-bit vectors the
     cosines are approximate and ``slack`` should say by how much."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -294,8 +341,9 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
                 got_b.append(b)
                 ends.extend((ends[-1] + np.cumsum(count)).tolist())
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(cat(got_c).astype(np.int32)), pa.array(cat(got_b))], names=["c", "b"])
-        return pa.table({"id": pa.array(cat(got_id)), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)})
+        ends = pa.array(ends, pa.int32())
+        return pa.table({"id": pa.array(cat(got_id)), "c": pa.ListArray.from_arrays(ends, pa.array(cat(got_c).astype(np.int32))),
+                         "b": pa.ListArray.from_arrays(ends, pa.array(cat(got_b)))})
 
     return routed.groupBy("leaf").applyInArrow(run, _FOUND)
 
@@ -324,7 +372,8 @@ def _parts(u: np.ndarray, most: int):
         yield np.arange(len(u))
         return
     tree = fit_tree(u, most // 2, 11)
-    leaf = np.concatenate([tree.costs(u[i : i + 4096]).argmin(1) for i in range(0, len(u), 4096)])
+    forest = Forest([tree])
+    leaf = np.concatenate([forest.search(u[i : i + 4096], 1)[:, 0] for i in range(0, len(u), 4096)])
     order = np.argsort(leaf, kind="stable")
     yield from np.split(order, np.cumsum(np.bincount(leaf, minlength=tree.leaves))[:-1])
 
@@ -340,5 +389,5 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def merge_lists(found: DataFrame, k: int) -> DataFrame:
     """``id, near``: the ``k`` best over all leaves of an id (at most probes * k entries come together)."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))
-    return found.groupBy("id").agg(F.slice(every, 1, k).alias("near"))
+    both = F.arrays_zip(F.flatten(F.collect_list("c")), F.flatten(F.collect_list("b"))).cast("array<struct<c:int,b:long>>")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(both)), 1, k).alias("near"))

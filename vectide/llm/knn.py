@@ -9,14 +9,14 @@ from vectide.llm import forest as rp
 from vectide.plans.scratch import Scratch, broadcast_if
 
 DIM = 96
-#: Five copies of each vector are shuffled; with leaves of 8192 rows the ten nearest of the largest test table are found
-#: with a recall of 0.988 (see the README).
-TREES, LEAF_ROWS = 5, 8192
+#: Each vector is a member of its own leaf of every tree and searches the PROBES first leaves of the queue, so PROBES copies
+#: of it are shuffled; see the README for recall.
+TREES, PROBES, LEAF_ROWS = 5, 6, 8192
 
 
 def nearest(
     records: DataFrame, k: int = 10, min_cos: float = -1.0, *, id: str = "id", vector: str = "vector", dim: int = DIM,
-    trees: int = TREES, probes: int | None = None, leaf_rows: int = LEAF_ROWS, queries=None,
+    trees: int = TREES, probes: int = PROBES, leaf_rows: int = LEAF_ROWS, queries=None,
 ) -> DataFrame:
     """``id, other, cosine, rank``: for every row (or those that the condition ``queries`` on ``id`` picks) its ``k`` most
     similar other rows with a cosine of at least ``min_cos``.
@@ -32,7 +32,6 @@ def nearest(
     reps, copies, n_copies = rp.collapse(rows, scratch)
     count = reps.count()
     forest = rp.learn(reps, count, dim, trees=trees, leaf_rows=leaf_rows)
-    probes = probes or trees
     if queries is None:
         routed = rp.route(reps, forest, dim, member=True, query=True, probes=probes, coarse=False)
     else:
