@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -65,6 +65,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def counted(self, df: DataFrame, name: str, where: str = "true") -> tuple[DataFrame, int]:
+        """``table`` with the number of its rows for which ``where`` holds, counted while they are written."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count_if(F.expr(where)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
