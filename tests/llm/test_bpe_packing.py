@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vectide.llm.bpe import BytePairEncoder, count_tokens, encode_texts, tokenizer_path
+from vectide.llm import packing
 from vectide.llm.packing import nnls, pack_items, plan_containers
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -134,6 +135,20 @@ def test_least_squares():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    a = rng.random((40, 15))
+    index = np.array([rng.choice(40, 4, replace=False) for _ in range(15)])
+    value = rng.random((15, 4))
+    a = np.zeros((40, 15))
+    for j in range(15):
+        a[index[j], j] = value[j]
     x = np.maximum(0, rng.normal(size=15))
-    assert np.allclose(nnls(a, a @ x, 5000), x, atol=1e-2)
+    assert np.allclose(nnls(index, value, a @ x, 5000), x, atol=1e-2)
+    assert nnls(np.zeros((0, 4), int), np.zeros((0, 4)), np.ones(3)).size == 0
+
+
+def test_a_size_is_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    items = spark.createDataFrame([(i, 7 if i % 3 else 0) for i in range(200)], "doc_id long, n_tokens int")
+    rows = pack_items(items, 28).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 200
+    full = Counter(r["container_id"] for r in rows if r["piece_size"])
+    assert max(full.values()) <= 4 and len(full) == -(-sum(i % 3 > 0 for i in range(200)) // 4)

@@ -4,7 +4,8 @@ Only the histogram of item sizes (at most ``capacity`` numbers) reaches the driv
 fill a container are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and
 rounded down, and what is left of the histogram is packed by best fit, size by size. The resulting plan says, for each
 size, which ranks of its items go to which containers; it has a few thousand rows whatever the corpus holds. Items get
-their rank within their size in two levels, so that one size held by a third of all items is still ranked in parallel.
+their rank within their size in two levels, in as many buckets as the size has items for, so that one size held by a third
+of all items is still ranked in parallel.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.bpe import count_tokens
-from vectide.plans.scratch import Scratch
+from vectide.plans.scratch import Scratch, broadcast_if
 
 CAPACITY = 2048
-#: Ranking works in so many buckets a size.
-RANK_BUCKETS = 32
+#: Items of one size that are ranked in one bucket.
+BUCKET_ROWS = 100_000
+#: Offsets of up to so many buckets are broadcast; more are joined by a shuffle.
+SMALL = 100_000
 _PLAN = "size int, start long, stop long, base long, per int"
 
 
@@ -61,19 +64,23 @@ def patterns(sizes: list[int], weight: np.ndarray, capacity: int, most: int = 30
     return ranked[:most]
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
-    """min |a x - b| over x >= 0 by accelerated projected gradients."""
-    if not a.size:
-        return np.zeros(a.shape[1])
-    v = np.ones(a.shape[1])
+def nnls(index: np.ndarray, value: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
+    """min |a x - b| over x >= 0 by accelerated projected gradients. Column j of the sparse ``a`` holds ``value[j]`` in the
+    rows ``index[j]``."""
+    if not index.size:
+        return np.zeros(len(index))
+    flat = index.ravel()
+    times = lambda x: np.bincount(flat, (value * x[:, None]).ravel(), len(b))
+    back = lambda r: (value * r[index]).sum(1)
+    v = np.ones(len(index))
     for _ in range(20):  # the largest eigenvalue of a'a bounds the step
-        v = a.T @ (a @ v)
+        v = back(times(v))
         norm = np.linalg.norm(v)
         v /= norm or 1.0
-    step, x = 1.0 / (norm * 1.05 or 1.0), np.zeros(a.shape[1])
+    step, x = 1.0 / (norm * 1.05 or 1.0), np.zeros(len(index))
     y, t = x, 1.0
     for _ in range(steps):
-        new = np.maximum(0.0, y - step * (a.T @ (a @ y - b)))
+        new = np.maximum(0.0, y - step * back(times(y) - b))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t2 * (new - x), new, t2
     return x
@@ -99,13 +106,14 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     choice = patterns(sizes, left, capacity)
     if choice:
         index = {s: i for i, s in enumerate(sizes)}
-        a = np.zeros((len(sizes), len(choice)), dtype=np.float32)
+        wide = max(map(len, choice))
+        rows_of, value = np.zeros((len(choice), wide), np.int64), np.zeros((len(choice), wide))
         for j, p in enumerate(choice):
-            for s, m in p.items():
-                a[index[s], j] = m
+            for i, (s, m) in enumerate(p.items()):
+                rows_of[j, i], value[j, i] = index[s], m
         # large items count by their size: what is left over should be small
-        scale = np.sqrt(np.array(sizes, dtype=np.float32))[:, None]
-        fitted = nnls(a * scale, left[sizes].astype(np.float32) * scale[:, 0])
+        scale = np.sqrt(np.array(sizes, dtype=np.float64))
+        fitted = nnls(rows_of, value * scale[rows_of], left[sizes] * scale)
         for j in np.argsort(-fitted, kind="stable"):
             p = choice[j]
             times = min(int(fitted[j]), *(int(left[s] // m) for s, m in p.items()))
@@ -141,21 +149,23 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, *, key: str = "doc_id
     last = F.greatest(F.ceil(F.col("n") / F.lit(capacity)) - 1, F.lit(0)).cast("int")
     pieces = items.select("key", "n", F.explode(F.sequence(F.lit(0), last)).alias("no")).select(
         "key", "n", "no", F.least(F.lit(capacity), F.col("n") - F.col("no") * F.lit(capacity)).cast("int").alias("s"))
-    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("key", "no"), F.lit(RANK_BUCKETS)).cast("int"))
-    in_bucket = Window.partitionBy("s", "b").orderBy(F.col("key").asc_nulls_first(), "no")
-    pieces = scratch.table(pieces.withColumn("r", F.row_number().over(in_bucket) - 1), "pieces")
-    # at most capacity * RANK_BUCKETS counts
-    counts = pieces.groupBy("s", "b").agg(F.count(F.lit(1)).alias("m"))
+    pieces = scratch.table(pieces, "pieces")
+    histogram = {r["s"]: r["m"] for r in pieces.groupBy("s").agg(F.count(F.lit(1)).alias("m")).collect()}  # at most capacity + 1 rows
+    buckets = [(s, -(-m // BUCKET_ROWS)) for s, m in histogram.items()]
+    many = sum(m for _, m in buckets)
+    split = F.broadcast(spark.createDataFrame(buckets, "s int, buckets int"))
+    pieces = pieces.join(split, "s").withColumn("b", F.pmod(F.xxhash64("key", "no"), F.col("buckets")).cast("int")).drop("buckets")
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = scratch.table(counts.withColumn("o", F.coalesce(F.sum("m").over(before), F.lit(0))), "offsets")
-    histogram = {r["s"]: r["m"] for r in offsets.groupBy("s").agg(F.sum("m").alias("m")).collect()}  # at most capacity + 1 rows
+    offsets = pieces.groupBy("s", "b").agg(F.count(F.lit(1)).alias("m")).withColumn("o", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    offsets = broadcast_if(offsets.select("s", "b", "o"), many, SMALL)
     empty = histogram.pop(0, 0)
     rows, containers = plan_containers(histogram, capacity)
     if empty:
         containers = max(containers, 1)
         rows += [(0, 0, empty, 0, 0)]
     plan = spark.createDataFrame(rows, _PLAN)
-    ranked = pieces.join(F.broadcast(offsets.select("s", "b", "o")), ["s", "b"]).withColumn("rank", F.col("o") + F.col("r"))
+    in_bucket = Window.partitionBy("s", "b").orderBy(F.col("key").asc_nulls_first(), "no")
+    ranked = pieces.withColumn("r", F.row_number().over(in_bucket) - 1).join(offsets, ["s", "b"]).withColumn("rank", F.col("o") + F.col("r"))
     placed = ranked.join(F.broadcast(plan), (F.col("s") == F.col("size")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop")))
     container = F.when(F.col("per") == 0, F.col("rank") % F.lit(max(containers, 1))).otherwise(
         F.col("base") + F.floor((F.col("rank") - F.col("start")) / F.greatest("per", F.lit(1))))
