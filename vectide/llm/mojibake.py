@@ -13,9 +13,11 @@ the same ASCII letters. Word counts, like passages, are aggregated over all docu
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -26,21 +28,19 @@ from vectide.plans.scratch import Scratch
 
 #: Encodings that texts may have been written in and read in: those of files and pages in practice.
 ENCODINGS = ("utf-8", "cp1252", "latin-1", "cp1251", "mac_roman", "cp850", "cp437", "cp1250", "iso8859-2", "koi8-r", "cp866")
-#: Known without learning, so that the smallest corpus is searched too.
-PRIOR = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 #: Different passages that must vote for a transformation.
 SUPPORT = 3
 #: A clean form must be in so many times the documents of the garbled one.
 RATIO = 3
 LOST = "�"
-#: Single characters that are familiar in any corpus where Western text was read in a Western encoding.
-WESTERN = frozenset("ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜßàáâãäåæçèéêëìíîïñòóôõöøùúûüÿœŒ¡¿«»“”„‘’–—…€°·©®™")
+#: Bits of the table of suspect words that every task gets (128 KB); it only saves rows of a join.
+SUSPECT_BITS = 1 << 20
 
-_RUN = regex.compile(r"[^\x00-\x7f]+")
-_PASSAGE = regex.compile(r"[\r\n]+|(?<=[.!?:;])\s+")
-_CAPITALS = regex.compile("[A-Z]{2}")
-_LETTER = regex.compile("[A-Za-z]")
-_WORD = regex.compile(r"(?:[A-Za-z]|[^\x00-\x7f])*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
+_RUN = re.compile(r"[^\x00-\x7f]+")
+_PASSAGE = re.compile(r"[\r\n]+|(?<=[.!?:;])\s+")
+_CAPITALS = re.compile("[A-Z]{2}")
+_LETTER = re.compile("[A-Za-z]")
+_WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 
 
 def _table(read: str) -> dict[int, str]:
@@ -94,7 +94,7 @@ def undo_utf8(run: str, read: str, familiar: frozenset[str]) -> str | None:
     if not _SCRIPTS.fullmatch(out):
         return None
     if len(out) == 1 or read in ("cp1251", "koi8-r", "cp866"):
-        return out if all(c in familiar or (c in WESTERN and read in ("cp1252", "latin-1")) for c in out) else None
+        return out if all(c in familiar for c in out) else None
     return out
 
 
@@ -146,21 +146,26 @@ def explains(garbled: str, clean: str, encodings=ENCODINGS) -> list[tuple[str, s
 # ---------------------------------------------------------------------------------------------------------- learning
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """``skeleton, passage, n``: passages with non-ASCII characters, once a document; skeleton hashes their ASCII part."""
+def counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``skeleton, passage, n`` of passages with non-ASCII characters (skeleton hashes their ASCII part) and ``word, n`` of
+    words with such characters; ``n`` is the number of documents. Texts are read once for both."""
+    kinds = (pa.bool_(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches):
         for b in batches:
-            seen: Counter = Counter()
+            whole: Counter = Counter()
+            single: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t and not t.isascii():
-                    seen.update({p for p in _PASSAGE.split(t) if not p.isascii()})
-            bare = [_RUN.sub("", p) for p in seen]
-            rows = [(xxhash.xxh64_intdigest(a) - (1 << 63), p, n) for a, (p, n) in zip(bare, seen.items()) if len(a) >= 8]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["skeleton", "passage", "n"])
+                    whole.update({p for p in _PASSAGE.split(t) if not p.isascii()})
+                    single.update(words_of(t))
+            rows = [(True, xxhash.xxh64_intdigest(a) - (1 << 63), p, n) for p, n in whole.items() if len(a := p.encode("ascii", "ignore")) >= 8]
+            rows += [(False, 0, w, n) for w, n in single.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["whole", "skeleton", "piece", "n"])
 
-    found = docs.select("text").mapInArrow(run, "skeleton long, passage string, n long")
-    return found.groupBy("skeleton", "passage").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "whole boolean, skeleton long, piece string, n long")
+    found = scratch.table(found.groupBy("whole", "skeleton", "piece").agg(F.sum("n").alias("n")), "counts")
+    return found.where("whole").select("skeleton", F.col("piece").alias("passage"), "n"), found.where("NOT whole").select(F.col("piece").alias("word"), "n")
 
 
 def _aligned(a: str, b: str):
@@ -179,10 +184,9 @@ def _with_offset(s: str):
         taken += m.end() - m.start()
 
 
-def learn_transformations(passage_counts: DataFrame, scratch: Scratch) -> list[tuple[str, str]]:
+def learn_transformations(p: DataFrame) -> list[tuple[str, str]]:
     """Transformations in the order of the votes they explain. Votes are aggregated by the set of transformations that
     would explain them, and only these few sums reach the driver."""
-    p = scratch.table(passage_counts, "passages")
     clean = p.groupBy("skeleton").agg(F.count(F.lit(1)).alias("forms"), F.max_by("passage", F.struct("n", "passage")).alias("clean")).where("forms > 1")
     twins = p.join(clean, "skeleton").where("passage != clean").select("skeleton", "passage", "clean")
 
@@ -221,21 +225,8 @@ def learn_transformations(passage_counts: DataFrame, scratch: Scratch) -> list[t
 
 
 def words_of(text: str) -> set[str]:
-    return {m.group() for m in _WORD.finditer(text)}
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n``: documents with each word that has a non-ASCII character."""
-
-    def run(batches):
-        for b in batches:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                if t and not t.isascii():
-                    seen.update(words_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """Words that have a non-ASCII character."""
+    return {w for w in _WORD.findall(text) if not w.isascii()}
 
 
 def _familiar(words: DataFrame, least: int = 3) -> frozenset[str]:
@@ -300,40 +291,56 @@ def find_garbled(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
     scratch = Scratch(spark, "mojibake")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    learned = learn_transformations(passages(rows), scratch)
-    reads = list(dict.fromkeys([r for w, r in (*PRIOR, *learned) if w == "utf-8"]))
+    passages, words = counts(rows, scratch)
+    learned = learn_transformations(passages)
+    reads = list(dict.fromkeys([r for w, r in learned if w == "utf-8"]))
     one_byte = [(w, r) for w, r in learned if w != "utf-8" and r != "utf-8"]
-    words = scratch.table(word_counts(rows), "words")
-    shared = spark.sparkContext.broadcast((reads, _familiar(words)))
+    bad = suspects(words, one_byte, scratch)
+    shared = spark.sparkContext.broadcast((reads, _familiar(words), _bits(bad)))
 
     def by_itself(batches):
-        reads, familiar = shared.value
+        reads, familiar, bits = shared.value
         memory: dict[str, tuple[str, int]] = {}
+        doubtful: dict[str, bool] = {}
+
+        def undone(run: str) -> tuple[str, int]:
+            if run not in memory:
+                if len(memory) > 100_000:
+                    memory.clear()
+                memory[run] = _parts(run, reads, familiar)
+            return memory[run]
+
+        def in_doubt(word: str) -> bool:
+            if word not in doubtful:
+                if len(doubtful) > 100_000:
+                    doubtful.clear()
+                at = _bit(word)
+                doubtful[word] = bool(bits[at >> 3] >> (at & 7) & 1)
+            return doubtful[word]
+
         for b in batches:
             keys, layers, texts, rest = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
+                if not t or t.isascii():
+                    continue
                 most = 0
-                if t and not t.isascii():
+                if any(undone(r)[1] for r in set(_RUN.findall(t))):
 
                     def undo(m):
                         nonlocal most
-                        run = m.group()
-                        if run not in memory:
-                            if len(memory) > 100_000:
-                                memory.clear()
-                            memory[run] = _parts(run, reads, familiar)
-                        out, n = memory[run]
+                        out, n = undone(m.group())
                         # a capital and a closing mark ending a word in capitals, as in AMANHÃ», are no small letter
-                        if n and len(out) == 1 and out.islower() and _CAPITALS.search(t, max(0, m.start() - 2), m.start()):
-                            return run
+                        if n and len(out) == 1 and out.islower() and _CAPITALS.search(m.string, max(0, m.start() - 2), m.start()):
+                            return m.group()
                         most = max(most, n)
                         return out
 
-                    out = _RUN.sub(undo, t)
-                    w = [x for x in words_of(out)]
+                    t = _RUN.sub(undo, t)
+                w = [x for x in words_of(t) if in_doubt(x)] if restore or not most else []
+                if most or w:
                     keys.append(i)
                     layers.append(most)
-                    texts.append(out)
+                    texts.append(t if restore else None)
                     rest.append(w)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keys, pa.int64())), pa.array(layers, pa.int32()), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))],
@@ -341,8 +348,7 @@ def find_garbled(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
 
     seen = rows.mapInArrow(by_itself, f"key {kind}, layers int, text string, words array<string>")
     seen = scratch.table(seen.withColumn("no", F.monotonically_increasing_id()), "seen")
-    bad = suspects(words, one_byte, scratch)
-    # a one-byte suspect counts where the transformation shows in the document; words are joined by hash, never listed here
+    # only rows with words of a set bit are here; which of these are suspects is told by a join
     hit = seen.select("no", F.explode("words").alias("word")).join(bad, "word").groupBy("no").agg(
         F.map_from_entries(F.collect_set(F.struct("word", "clean"))).alias("swap"))
     both = seen.join(hit, "no", "left").where("layers > 0 OR swap IS NOT NULL")
@@ -361,6 +367,25 @@ def find_garbled(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
     return both.select("key", "layers", "text", "swap").mapInArrow(put_back, f"`{key}` {kind}, layers int, restored string")
 
 
+def _bit(word: str) -> int:
+    return xxhash.xxh64_intdigest(word, 17) % SUSPECT_BITS
+
+
+def _bits(bad: DataFrame) -> bytes:
+    """A bit for each suspect word: combined in parallel, of one size whatever the number of words."""
+
+    def run(batches):
+        bits = np.zeros(SUSPECT_BITS, bool)
+        for b in batches:
+            bits[[_bit(w) for w in b.column(0).to_pylist()]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(SUSPECT_BITS // 8, np.uint8)
+    for r in bad.select("word").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():  # at most 16 rows
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
 def p9_found(spark, sf_dir: str) -> DataFrame:
     return find_garbled(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id")
 
