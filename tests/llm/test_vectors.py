@@ -281,6 +281,26 @@ def test_farthest_first_and_subsets(spark):
         assert {"big", "small", ""} <= got_topics and 900 in out and any(303 <= i < 305 for i in out)
         assert sum(305 <= i < 455 for i in out) <= 4  # copies are not chosen again
         assert sorted(out) == sorted(r["id"] for r in varied_subset(df.repartition(5), 20, dim=DIM, **kw).collect())
+    assert [r["place"] for r in varied_subset(df, 20, dim=DIM).orderBy("place").collect()] == list(range(1, 21))
     many = [r["id"] for r in varied_subset(df, 200, dim=DIM, part_rows=50, pool_most=60).collect()]  # larger than a task may hold
-    assert len(many) == len(set(many)) == 200 and sum(305 <= i < 455 for i in many) < 100
-    assert varied_subset(df, 10_000, dim=DIM).count() == 457 and varied_subset(df, 0, dim=DIM).isEmpty()
+    assert len(many) == len(set(many)) == 200 and sum(305 <= i < 455 for i in many) <= 6
+
+
+def test_subsets_of_a_cut_pool_are_as_far_apart(spark):
+    """Leaves of the pool fill no shares: the mean squared distance to the nearest chosen row is that of one leaf."""
+    x = rp.unit(blobs([600] + [3] * 60, seed=2, spread=0.5))
+    df = frame(spark, x).withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+
+    def radius(**kw):
+        chosen = [r["id"] - 1 for r in varied_subset(df, 100, dim=DIM, part_rows=100, **kw).collect()]
+        return float((2 - 2 * (x @ x[chosen].T)).min(1).mean())
+
+    one, cut = radius(), radius(pool_most=120)
+    spread = np.mean([(2 - 2 * (x @ x[np.random.default_rng(i).choice(len(x), 100, replace=False)].T)).min(1).mean() for i in range(5)])
+    assert cut < 1.1 * one and cut < 0.9 * spread
+
+
+def test_subset_larger_than_the_table(spark):
+    x = blobs([50])
+    df = frame(spark, x).withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+    assert varied_subset(df.union(df), 10_000, dim=DIM).count() == 50 and varied_subset(df, 0, dim=DIM).isEmpty()
