@@ -77,25 +77,62 @@ def tables(spark, records, incoming):
     return spark.createDataFrame(records, R), spark.createDataFrame(incoming, I).withColumn("pos", F.lit("clash")).withColumn("key", F.lit(0))
 
 
+def dedup(records, incoming):
+    return dedup_batches(History.start(records, dim=DIM), incoming)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_decisions_in_order(spark, seed):
     records, incoming = world(seed)
     want = in_sequence(records, incoming)
-    got = {r["key"]: r["match"] for r in dedup_batches(*tables(spark, records, incoming), dim=DIM).collect()}
+    got = {r["key"]: r["match"] for r in dedup(*tables(spark, records, incoming)).collect()}
     assert got == want
 
 
-def test_batches_one_by_one_equal_all_at_once(spark):
+def test_batches_one_by_one(spark):
     records, incoming = world(3, n=60, m=60)
-    want = in_sequence(records, incoming)
+    rec, inc = tables(spark, records, [*incoming, (10**6 - 1, None, 4999, incoming[0][3], "a text of no batch")])
+    got = {r["key"]: r["match"] for r in dedup_batches(History.start(rec, dim=DIM), inc, step_rows=0).collect()}
+    assert got == in_sequence(records, [*incoming, (10**6 - 1, 0, 4999, incoming[0][3], "a text of no batch")])
+
+
+def test_a_history_is_reopened_and_merges_its_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hs, "MERGE", 2)
+    monkeypatch.setattr(hs, "MOST_BLOCKS", 0)  # searches meet the leaves in a shuffle
+    records, incoming = world(4, n=60, m=60)
     rec, inc = tables(spark, records, incoming)
-    h, got = History.start(rec, dim=DIM), {}
+    source, path = str(tmp_path / "records"), str(tmp_path / "history")
+    rec.repartitionByRange(6, "id").write.parquet(source)
+    History.start(spark.read.parquet(source), path=path, source=source, dim=DIM)
+    got = {}
     for b in range(1, 5):
-        batch = in_order(inc.where(F.col("batch_no") == b))
-        decided = h.scratch.table(h.decide(batch), "decided")
-        got |= {r["key"]: r["match"] for r in decided.collect()}
-        h = h.append(batch, decided)
-    assert got == want
+        h = History.open(spark, path)
+        d = h.decide(in_order(inc.where(F.col("batch_no") == b)))
+        got |= {r["key"]: r["match"] for r in d.decided.collect()}
+        h.append(d)
+    assert got == in_sequence(records, incoming)
+    h = History.open(spark, path)
+    assert h.about["batches"] == 4 and all(len(level) < 2 for levels in h.about["parts"].values() for level in levels)
+    assert h.rows.count() == len(records) + sum(m is None and i[2] is not None for i in incoming for m in [got[i[0]]])
+    listed = {p for levels in h.about["parts"].values() for level in levels for p in level}
+    assert listed <= {p.name for p in (tmp_path / "history").iterdir()}
+    # only files that may hold a candidate are read
+    some = h._fetch(spark.createDataFrame([(records[0][0],), (records[-1][0],)], "key long"), "text")
+    assert sorted(r["key"] for r in some.collect()) == [records[0][0], records[-1][0]]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert f"LessThanOrEqual(id,{records[0][0]})" in plan
+
+
+def test_ranges_hold_all_values():
+    v = np.random.default_rng(0).integers(-(2**62), 2**62, 500)
+    assert str(hs.in_ranges("k", v, 8)).count(">=") == 8
+    assert str(hs.in_ranges("k", np.array([5, 5]), 8)).count(">=") == 1
+
+
+def test_common_chunks():
+    a, b = hs.Common(np.array([9, 3, 5]), np.array([1, 2, 3])), hs.Common(np.array([5, 4]), np.array([7, 8]))
+    assert (a | b).of_chunks(np.array([3, 4, 5, 9, 10, -1])).tolist() == [2, 8, 7, 1, 0, 0]
+    assert hs.Common(np.zeros(0, np.int64), np.zeros(0, np.int64)).of_chunks(np.array([1])).tolist() == [0]
 
 
 def test_a_third_of_a_batch_is_one_row_sent_again(spark):
@@ -104,12 +141,12 @@ def test_a_third_of_a_batch_is_one_row_sent_again(spark):
     v = vec(rng)
     incoming = [(1000 + i, 1 + i % 3, 700, v, "one two three four") for i in range(200)] + [(2000 + i, 1, 800 + i, vec(rng), f"p{i} q{i} r{i}") for i in range(30)]
     rec, inc = tables(spark, records, incoming + incoming[:1])  # and one recv_id twice
-    got = {r["key"]: r["match"] for r in dedup_batches(rec, inc, dim=DIM).collect()}
+    got = {r["key"]: r["match"] for r in dedup(rec, inc).collect()}
     assert got == in_sequence(records, incoming)
     assert sum(x == 700 for x in got.values()) == 199
-    none = dedup_batches(rec.limit(0), inc.limit(0), dim=DIM)
+    none = dedup(rec.limit(0), inc.limit(0))
     assert none.isEmpty()
-    assert {r["match"] for r in dedup_batches(rec.limit(0), inc.limit(5), dim=DIM).collect()} <= {None, 700}
+    assert {r["match"] for r in dedup(rec.limit(0), inc.limit(5)).collect()} <= {None, 700}
 
 
 def test_chunks_lose_no_pair():
@@ -205,5 +242,9 @@ def test_transformations_explain_pairs():
 def test_empty_and_small_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert mj.find_garbled(df).isEmpty()
+    pair = [("PrÃ¼fung der EintrÃ¤ge %d", "Prüfung der Einträge %d")]
+    few = spark.createDataFrame([(2 * i + j, t % i) for i in range(4) for p in pair for j, t in enumerate(p)], "doc_id long, text string")
+    assert [r["doc_id"] for r in mj.find_garbled(few).orderBy("doc_id").collect()] == [0, 2, 4, 6]
+    # two texts without twins teach nothing
     one = spark.createDataFrame([(1, "PrÃ¼fung der EintrÃ¤ge"), (2, "Prüfung")], "doc_id long, text string")
-    assert [r["doc_id"] for r in mj.find_garbled(one).collect()] == [1]
+    assert mj.find_garbled(one).isEmpty()

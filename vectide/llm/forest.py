@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.plans.scratch import Scratch, broadcast_if
@@ -195,10 +195,12 @@ def packed(x: np.ndarray) -> pa.Array:
 
 def usable(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
     """``id, vector`` of rows with an id and a finite vector of ``dim`` components that is not zero."""
-    v = F.col("vector")
+    return df.select(df[id].cast("long").alias("id"), df[vector].cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & is_usable(F.col("vector"), dim))
+
+
+def is_usable(v: Column, dim: int) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(df[id].cast("long").alias("id"), df[vector].cast("array<float>").alias("vector")).where(
-        F.col("id").isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0))
+    return (F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0)
 
 
 def fingerprint() -> list:
@@ -277,7 +279,7 @@ def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: boo
                 x = matrix(part.column(1), dim)
                 u = unit(x)
                 leaves = f.search(u, len(role))
-                vec = np.rint(u * (127 / np.abs(u).max(1, keepdims=True))).astype(np.int8) if coarse else x
+                vec = np.rint(u * (127 / np.maximum(np.abs(u).max(1, keepdims=True), 1e-30))).astype(np.int8) if coarse else x
                 i, j = np.nonzero(leaves >= 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaves[i, j].astype(np.int32)), pa.array(role[j], pa.int8()), part.column(0).take(pa.array(i)), packed(vec[i])],
