@@ -119,7 +119,7 @@ def test_save_load_lazy_and_quantized(spark, vec, tmp_path):
     c.save(path)
     back = Collection.load(spark, path)
     assert [(r["id"], r["score"]) for r in back.search(vec(100, 16), 5).collect()] == want
-    assert back.index == c.index and back.dimension == 16 and back._graph is not None
+    assert back.index == c.index and back.dimension == 16 and back._graph.graph is not None
     back.delete(3)
     back.save(path)  # tombstones pending: no graph goes along
     assert store.read_manifest(spark, path)["graph"] is None and Collection.load(spark, path).count() == 19
@@ -242,5 +242,35 @@ def test_stream_upserts(spark, tmp_path):
         q.awaitTermination(120)
         c = Collection.load(spark, path)
         assert sorted((r["id"], r["text"]) for r in c.records.select("id", "text").collect()) == [(1, "new"), (2, "two")]
+        bad = spark.read.parquet(f"{path}-rejected")
+        assert [(r["id"], r["why"], r["text"]) for r in bad.collect()] == [(3, "dimension", "short")]
     assert c.search_batch(spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, query_vector array<float>"), 1).first()["id"] == 1
     assert c.records.where(F.size("vector") != 2).isEmpty()
+
+
+def test_json_lines(spark, vec, tmp_path):
+    c = Collection.create(spark, 8)
+    c.insert([rec(i, vec(i, 8), f"line\n{i}", k="v") for i in range(20)])
+    c.export_json_lines(f"{tmp_path}/lines")
+    back = Collection.import_json_lines(spark, f"{tmp_path}/lines")
+    assert back.dimension == 8 and sorted(map(str, back.records.collect())) == sorted(map(str, c.records.collect()))
+    with open(f"{tmp_path}/bad.json", "w") as f:
+        f.write('{"id": 1, "vector": [1.0]}\n{"id": 2\n')
+    with pytest.raises(SerializationError):
+        Collection.import_json_lines(spark, f"{tmp_path}/bad.json")
+
+
+def test_a_loaded_graph_takes_inserts(spark, vec, tmp_path):
+    from vectide.schema import graph_index
+
+    c = Collection.create(spark, 8, graph_index())
+    c.insert([rec(i, vec(i, 8)) for i in range(30)])
+    c.save(f"{tmp_path}/c")
+    back = Collection.load(spark, f"{tmp_path}/c")
+    back.insert([rec(i, vec(i, 8)) for i in range(30, 40)])
+    assert back._graph.graph is not None and back.search(vec(35, 8), 1).first()["id"] == 35
+    back.save(f"{tmp_path}/c")
+    back.save(f"{tmp_path}/c")
+    assert back.search(vec(36, 8), 1).first()["id"] == 36
+    assert Collection.load(spark, f"{tmp_path}/c").search(vec(37, 8), 1).first()["id"] == 37
+    assert back.stats() == {"records": 40, "dimension": 8, "index": "graph(M=16, ef_construction=64, ef_search=64)", "encoding": "float32"}

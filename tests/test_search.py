@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vectide.errors import DimensionMismatch, InvalidVector
 from vectide.functions import vecmath as vm
 from vectide.operators import graph as nsw
-from vectide.operators.search import batch_knn, exact_topk, recall_at_k
+from vectide.operators.search import batch_knn, exact_topk, recall_at_k, resolve
 from vectide.schema import RECORD, GraphParams
 
 
@@ -74,9 +74,9 @@ def test_batch_equals_single_and_handles_dirt(spark, vec):
     df = table(spark, [(i, vec(i, 12), "", {"p": str(i % 2)}) for i in range(80)] + [(500, vec(3, 12), "", {"p": "1"})])
     rows = [(j, vec(1000 + j, 12)) for j in range(7)] + [(90, None), (91, []), (92, [1.0]), (None, vec(1, 12)), (93, vec(3, 12))]
     q = spark.createDataFrame(rows, "query_id long, query_vector array<float>")
-    for groups in (20_000, 3):
+    for groups in (1 << 20, 150):
         got: dict = {}
-        for r in batch_knn(df, q, 4, {"p": "1"}, block=2, most_queries=groups).orderBy("query_id", "rank").collect():
+        for r in batch_knn(df, q, 4, {"p": "1"}, block=2, most_bytes=groups).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["id"], np.float32(r["score"])))
         assert sorted(got) == [0, 1, 2, 3, 4, 5, 6, 93]
         for j, v in rows:
@@ -95,7 +95,7 @@ def test_graph_agrees_with_exact_top_one(spark, vec):
             g = nsw.build(df, p, shards=shards).cache()
             hits = nsw.walk(g, queries, 1, p).orderBy("query_id").collect()
             assert [r["id"] for r in hits] == want
-            nsw.check_graph(g, df)
+            nsw.check_graph(nsw.structure(g), df)
     assert [exact_topk(df, q, 1).first()["id"] for _, q in queries] == want
 
 
@@ -140,3 +140,48 @@ def test_standalone_index(spark, vec):
     back = nsw.AnnIndex.restore(i.rows, i.persisted(), i.params)
     want = [(r["id"], r["score"]) for r in i.search(vec(7, 16), 5).orderBy("rank").collect()]
     assert [(r["id"], r["score"]) for r in back.search(vec(7, 16), 5).orderBy("rank").collect()] == want
+
+
+def test_inserts_extend_the_graph(spark, vec, monkeypatch):
+    """New records are inserted into the shards they belong to: the same graph as one built in id order; beyond twice a
+    shard's rows all is built anew."""
+    rows = [(i, vec(i, 16), "", {}) for i in range(60)]
+    p = GraphParams(8, 32, 60)
+    whole, first, second = (table(spark, r) for r in (rows, rows[:35], rows[35:]))
+    links = lambda g: sorted(map(tuple, nsw.structure(g).collect()))
+    for shards in (1, 3):
+        assert links(nsw.extend(nsw.build(first, p, shards=shards), second, p, shards)) == links(nsw.build(whole, p, shards=shards))
+    calls = []
+    build = nsw.build
+    monkeypatch.setattr(nsw, "build", lambda *a, **kw: calls.append(1) or build(*a, **kw))
+    i = nsw.AnnIndex(spark, p)
+    i.insert(first)
+    i.search(vec(1000, 16), 1).collect()
+    i.insert(second)
+    assert i.search(vec(1000, 16), 1).first()["id"] == 3 and len(calls) == 1
+    monkeypatch.setattr(nsw, "SHARD_ROWS", 20)
+    i.insert([(60, vec(60, 16))])
+    assert i.search(vec(60, 16), 1).first()["id"] == 60 and len(calls) == 2
+    empty = nsw.build(first.limit(0), p)
+    assert links(nsw.extend(empty, second, p, 1)) == links(build(second, p))
+
+
+def test_a_search_of_the_graph_does_not_shuffle_it(spark, vec, tmp_path):
+    rows = table(spark, [(i, vec(i, 16), "", {}) for i in range(60)])
+    nsw.build(rows, GraphParams(), shards=3).write.parquet(f"{tmp_path}/g")
+    plan = nsw.walk(spark.read.parquet(f"{tmp_path}/g"), [(0, vec(1, 16))], 3, GraphParams())._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # only hits are shuffled: the plan is printed from its end
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_payloads_are_read_by_pushed_ids(spark, vec, tmp_path):
+    records = table(spark, [(i, vec(i, 8), f"text {i}", {"k": "v"}) for i in range(50)])
+    records.write.parquet(f"{tmp_path}/r")
+    stored = spark.read.parquet(f"{tmp_path}/r")
+    hits = exact_topk(records, vec(3, 8), 3).select("id", "score")
+    got = resolve(hits, stored)
+    assert "PushedFilters: [In(id, [" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["text"]) for r in got.collect()) == sorted((r["id"], f"text {r['id']}") for r in hits.collect())
+    assert resolve(hits.limit(0), stored).isEmpty()
+    many = resolve(spark.range(1500).select("id", F.lit(1.0).alias("score")), stored)
+    assert many.count() == 50 and "In(id" not in many._jdf.queryExecution().executedPlan().toString()

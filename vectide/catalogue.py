@@ -81,8 +81,12 @@ def exact_topk(spark, sf):
     return _top(_exact_topk(vectors(spark, sf), _query(spark, sf), 10))
 
 
+def _collection(spark, sf, index=EXACT) -> Collection:
+    return Collection(spark, mutate.as_records(records(spark, sf)), 64, index)
+
+
 def filtered_topk_label(spark, sf):
-    return _top(_exact_topk(records(spark, sf), _query(spark, sf), 10, {"label": "3"}))
+    return _top(_collection(spark, sf).search(_query(spark, sf), 10, {"label": "3"}))
 
 
 def filtered_topk_lang_label(spark, sf):
@@ -143,12 +147,18 @@ def resolve_payload(spark, sf):
 
 
 def get_by_id(spark, sf):
-    r = records(spark, sf).where(F.col("id") == QUERY_ID)
-    return r.select("id", "text", F.col("metadata")["label"].alias("label"), F.size("vector").alias("dimension"))
+    r = _collection(spark, sf).get(QUERY_ID)
+    return spark.createDataFrame([(r["id"], r["text"], r["metadata"]["label"], len(r["vector"]))], "id long, text string, label string, dimension int")
 
 
 def stats(spark, sf):
-    return vectors(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.max(F.size("vector")).alias("dimension"), F.count_distinct("label").alias("labels"))
+    """Of a collection that was saved with 8-bit vectors and a graph, and loaded again."""
+    path = Scratch(spark, "store").path("collection")
+    c = _collection(spark, sf, graph_index())
+    c.set_encoding(SCALAR8)
+    c.save(path)
+    s = Collection.load(spark, path).stats()
+    return spark.createDataFrame([tuple(s.values())], "records long, dimension int, index string, encoding string")
 
 
 # mutations ------------------------------------------------------------------------------------------------------------
@@ -156,6 +166,12 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("v0"), F.size("vector").alias("dimension"), F.coalesce(F.col("metadata")["label"], F.lit("none")).alias("label"))
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """Every field: the vector as a sum of thousandths weighted by place, the text as its digest."""
+    thousandths = F.transform("vector", lambda x, i: F.round(x.cast("double") * 1000).cast("long") * (i + 1))
+    return df.select("id", F.aggregate(thousandths, F.lit(0).cast("long"), lambda s, x: s + x).alias("vector_sum"), F.md5("text").alias("text"), *(F.col("metadata")[k].alias(k) for k in ("label", "lang", "source")))
+
+
 def _shifted(r: DataFrame) -> DataFrame:
     return r.select((F.col("id") + 1_000_000).alias("id"), "vector", "text", "metadata")
 
@@ -196,8 +212,9 @@ def delete_then_reinsert(spark, sf):
 
 
 def search_after_delete(spark, sf):
-    r = mutate.as_records(records(spark, sf))
-    return _top(_exact_topk(mutate.delete(r, _some(r))[0], _query(spark, sf), 10))
+    c = _collection(spark, sf)
+    c.delete(_some(c.records))
+    return _top(c.search(_query(spark, sf), 10))
 
 
 def duplicate_ids(spark, sf):
@@ -255,21 +272,25 @@ def parse_vector_text(spark, sf):
 
 def json_roundtrip(spark, sf):
     path = Scratch(spark, "json").path("doc") + ".json"
-    c = Collection(spark, mutate.as_records(records(spark, sf)), 64, graph_index())
-    c.export_json(path)
-    return _shown(Collection.import_json(spark, path).records)
+    _collection(spark, sf, graph_index()).export_json(path)
+    return _whole(Collection.import_json(spark, path).records)
+
+
+def json_lines_roundtrip(spark, sf):
+    path = Scratch(spark, "json").path("lines")
+    _collection(spark, sf).export_json_lines(path)
+    return _whole(Collection.import_json_lines(spark, path).records)
 
 
 def parquet_roundtrip(spark, sf):
     path = Scratch(spark, "store").path("collection")
-    Collection(spark, mutate.as_records(records(spark, sf)), 64, EXACT).save(path)
-    return _shown(Collection.load(spark, path).records)
+    _collection(spark, sf).save(path)
+    return _whole(Collection.load(spark, path).records)
 
 
 def lazy_search(spark, sf):
     path = Scratch(spark, "store").path("collection")
-    c = Collection(spark, mutate.as_records(records(spark, sf)), 64, EXACT)
-    c.save(path)
+    _collection(spark, sf).save(path)
     return _top(LazyCollection(spark, path).search(_query(spark, sf), 10, {"label": "3"}))
 
 
@@ -284,7 +305,7 @@ def crc32_text(spark, sf):
 
 
 def compact_counts(spark, sf):
-    c = Collection(spark, mutate.as_records(records(spark, sf)), 64, graph_index())
+    c = _collection(spark, sf, graph_index())
     c.delete(_some(c.records))
     return spark.createDataFrame([(c.compact(), c.compact(), c.count())], "first int, second int, records long")
 
@@ -300,7 +321,7 @@ def ann_topk(spark, sf):
 
 
 def ann_topk_tombstones(spark, sf):
-    c = Collection(spark, mutate.as_records(records(spark, sf)), 64, graph_index())
+    c = _collection(spark, sf, graph_index())
     c._built()
     c.delete(_some(c.records))
     return c.search(_query(spark, sf), 10).select("id", _score(), "rank")
@@ -313,19 +334,47 @@ def ann_exhaustive_topk(spark, sf):
     return hits.select("id", _score())
 
 
-def ann_recall(spark, sf):
+def ann_inserted_topk(spark, sf):
+    """The second half of the records is inserted into the graph of the first."""
+    c = _collection(spark, sf, graph_index())
+    whole = c.records
+    c = Collection(spark, whole.where(F.col("id") % 2 == 0), 64, graph_index())
+    c._built()
+    c.insert(whole.where(F.col("id") % 2 == 1))
+    n = whole.count()
+    return c.search(_query(spark, sf), 10, ef=n).select("id", _score(), "rank")
+
+
+def recalls(spark, sf):
     q = _queries(spark, sf)
     asked = [(r["query_id"], list(r["query_vector"])) for r in q.collect()]
     got = nsw.walk(_graph(spark, sf, shards=2), asked, 10, GraphParams())
     return recall_at_k(_batch_knn(vectors(spark, sf), q, 10), got)
 
 
+def ann_recall(spark, sf):
+    """Queries, and whether the mean recall of their ten nearest is at least 0.95."""
+    return recalls(spark, sf).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("enough"))
+
+
 def ann_reachable(spark, sf):
-    return nsw.reachable(_graph(spark, sf, shards=2))
+    """Nodes of all shards, and whether at least 99 of 100 are reached from their shard's entry."""
+    r = nsw.reachable(_graph(spark, sf, shards=2))
+    return r.agg(F.sum("nodes").alias("nodes"), (F.sum("reachable") >= 0.99 * F.sum("nodes")).alias("reached"))
 
 
 _SHOW = "id, round(v0::DOUBLE, 6) AS v0, dimension, label"
 _REC = "SELECT vec_id AS id, embedding[1] AS v0, len(embedding)::INTEGER AS dimension, label::VARCHAR AS label FROM embeddings"
+_WHOLE = ("SELECT id, list_sum(list_transform(vector, lambda x, i: round(x::DOUBLE * 1000)::BIGINT * i))::BIGINT AS vector_sum, md5(text) AS text, "
+          f"label::VARCHAR AS label, lang, source FROM ({_R})")
+_RANK = "SELECT id, score, row_number() OVER ()::INTEGER AS rank FROM ({})"
+# a CRC by table, over the bytes of each text
+_CRC = """WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab
+  FROM (SELECT unnest(range(256))::BIGINT AS n)),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(h) + 1, 2), lambda i: ((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT) AS bytes FROM d)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS crc FROM b, t"""
 _BOUNDS = "SELECT min(x) AS qmin, max(x) AS qmax FROM (SELECT unnest(embedding) AS x FROM embeddings)"
 _CODE = "list_transform(vector, lambda x: least(greatest(floor((((x - qmin)::DOUBLE / (qmax - qmin)::DOUBLE)::FLOAT * 255::FLOAT)::DOUBLE + 0.5), 0), 255)::SMALLINT)"
 _BACK = "list_transform(codes, lambda c: (qmin + ((c::DOUBLE / 255)::FLOAT * (qmax - qmin)::FLOAT)::FLOAT)::FLOAT)"
@@ -345,7 +394,7 @@ SQL = {
     "batch_knn_filtered": _batch_sql(_R, 5, "label = 3"),
     "resolve_payload": f"WITH s AS ({_ranked(_V, 10)}) SELECT s.id, s.score, r.text, r.label::VARCHAR AS label, r.lang FROM s JOIN ({_R}) r ON s.id = r.id",
     "get_by_id": f"SELECT id, text, label::VARCHAR AS label, len(vector)::INTEGER AS dimension FROM ({_R}) WHERE id = {QUERY_ID}",
-    "stats": "SELECT count(*) AS records, max(len(embedding))::INTEGER AS dimension, count(DISTINCT label) AS labels FROM embeddings",
+    "stats": "SELECT count(*) AS records, max(len(embedding))::INTEGER AS dimension, 'graph(M=16, ef_construction=64, ef_search=64)' AS index, 'int8 (scalar-quantized)' AS encoding FROM embeddings",
     "insert_batch": f"WITH r AS ({_REC}), a AS (SELECT * FROM r UNION ALL SELECT id + 1000000, v0, dimension, label FROM r) SELECT {_SHOW} FROM a",
     "upsert_batch": f"WITH r AS ({_REC}), a AS (SELECT * FROM r WHERE label <> '3' UNION ALL SELECT id, -v0, dimension, 'new' FROM r WHERE label = '3' UNION ALL SELECT id + 1000000, v0, dimension, label FROM r) SELECT {_SHOW} FROM a",
     "delete_batch": f"WITH r AS ({_REC}) SELECT {_SHOW} FROM r WHERE label NOT IN ('3', '5')",
@@ -360,11 +409,18 @@ SQL = {
     "quantized_topk": _ranked(f"SELECT id, back AS vector FROM ({_DECODED})", 10),
     "quantized_store_search": _ranked(f"SELECT id, back AS vector FROM ({_DECODED})", 10),
     "parse_vector_text": "SELECT vec_id AS id, len(embedding)::INTEGER AS n, true AS same FROM embeddings",
-    "json_roundtrip": f"WITH r AS ({_REC}) SELECT {_SHOW} FROM r",
-    "parquet_roundtrip": f"WITH r AS ({_REC}) SELECT {_SHOW} FROM r",
+    "json_roundtrip": _WHOLE,
+    "json_lines_roundtrip": _WHOLE,
+    "parquet_roundtrip": _WHOLE,
     "lazy_search": _ranked(_R, 10, "label = 3"),
     "compact_counts": "SELECT count_if(label IN (3, 5))::INTEGER AS first, 0::INTEGER AS second, count_if(label NOT IN (3, 5))::BIGINT AS records FROM embeddings",
     "ann_exhaustive_topk": _ranked(_V, 10),
+    "ann_topk": _RANK.format(_ranked(_V, 10)),
+    "ann_topk_tombstones": _RANK.format(_ranked(_V, 10, "label NOT IN (3, 5)")),
+    "ann_inserted_topk": _RANK.format(_ranked(_V, 10)),
+    "ann_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "ann_reachable": "SELECT count(*)::BIGINT AS nodes, true AS reached FROM embeddings",
+    "crc32_text": _CRC,
 }
 
 _QUERIES = [
@@ -372,8 +428,8 @@ _QUERIES = [
     tie_break_by_id, zero_vector_scores_zero, batch_knn, batch_knn_filtered, resolve_payload, get_by_id, stats, insert_batch,
     upsert_batch, delete_batch, deleted_records, delete_then_reinsert, search_after_delete, duplicate_ids, validate_vectors,
     quant_bounds, quantize_codes, dequantize_error, quantized_topk, quantized_store_search, parse_vector_text, json_roundtrip,
-    parquet_roundtrip, lazy_search, crc32_text, compact_counts, ann_topk, ann_topk_tombstones, ann_exhaustive_topk, ann_recall,
-    ann_reachable,
+    json_lines_roundtrip, parquet_roundtrip, lazy_search, crc32_text, compact_counts, ann_topk, ann_topk_tombstones, ann_exhaustive_topk, ann_inserted_topk,
+    ann_recall, ann_reachable,
 ]
 
 

@@ -107,11 +107,8 @@ def run(args: argparse.Namespace, spark, say=print) -> None:
             say("no results")
     elif cmd == "stats":
         c = Collection.load(spark, args.path)
-        for name, value in (
-            ("path", args.path), ("records", c.count()), ("dimension", "unset" if c.dimension is None else c.dimension),
-            ("index", c.index.label()), ("encoding", encoding_label(c.encoding)), ("bytes", files.size(spark, args.path)),
-        ):
-            say(f"{name + ':':<11}{value}")
+        for name, value in {"path": args.path, **c.stats(), "bytes": files.size(spark, args.path)}.items():
+            say(f"{name + ':':<11}{'unset' if value is None else value}")
     elif cmd == "compact":
         c = Collection.load(spark, args.path)
         n = c.compact()

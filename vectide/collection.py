@@ -17,7 +17,7 @@ from vectide.operators import graph as nsw
 from vectide.operators import mutate
 from vectide.operators.search import batch_knn, exact_topk, metadata_equals, resolve
 from vectide.plans.scratch import Scratch
-from vectide.schema import EXACT, FLOAT32, RECORD, SCALAR8, GraphParams, IndexKind
+from vectide.schema import EXACT, FLOAT32, RECORD, SCALAR8, GraphParams, IndexKind, encoding_label
 from vectide.sources import store
 
 #: Mutations between two cuts of the lineage.
@@ -27,11 +27,11 @@ CUT_EVERY = 8
 class Collection:
     def __init__(self, spark: SparkSession, records: DataFrame, dimension: int | None, index: IndexKind, encoding: str = FLOAT32, graph: DataFrame | None = None):
         self.spark, self.records, self.dimension, self.index, self.encoding = spark, records, dimension, index, encoding
-        self._graph, self._own_graph = graph, False
         self._dead: DataFrame | None = None
         self._n_dead = 0
         self._steps = 0
         self._scratch = Scratch(spark, "collection")
+        self._graph = nsw.GraphState(spark, index.params, self._scratch, graph)
 
     # ------------------------------------------------------------------------------------------------ construction
     @classmethod
@@ -52,6 +52,10 @@ class Collection:
     def is_empty(self) -> bool:
         return self.records.isEmpty()
 
+    def stats(self) -> dict:
+        """Records, dimension, index and encoding."""
+        return {"records": self.count(), "dimension": self.dimension, "index": self.index.label(), "encoding": encoding_label(self.encoding)}
+
     @property
     def tombstones(self) -> int:
         return self._n_dead
@@ -80,11 +84,13 @@ class Collection:
         self.records = self._scratch.table(records, "records") if self._steps % CUT_EVERY == 0 else records
 
     def _forget_graph(self) -> None:
-        self._graph, self._dead, self._n_dead = None, None, 0
+        self._graph.forget()
+        self._dead, self._n_dead = None, 0
 
     def _added(self, rows: DataFrame, replaced: bool) -> None:
-        """The graph is stale; tombstones are dropped only if a record was replaced or a deleted id is in use again."""
-        self._graph = None
+        """New records are inserted into the graph. It is given up, and tombstones with it, only if a record was replaced or a
+        deleted id is in use again."""
+        self._graph.add(rows)
         if replaced or (self._n_dead and not self._dead.join(rows.select("id"), "id", "left_semi").isEmpty()):
             self._forget_graph()
 
@@ -157,9 +163,7 @@ class Collection:
         return self._scratch.table(g, "graph")
 
     def _built(self) -> DataFrame:
-        if self._graph is None:
-            self._graph, self._own_graph = self.build_ann_index(self.index.params), True
-        return self._graph
+        return self._graph.get(self.records)
 
     # ------------------------------------------------------------------------------------------------------ storage
     def save(self, path: str) -> None:
@@ -173,8 +177,8 @@ class Collection:
         store.save(self.spark, path, self.records, dimension=self.dimension, index=self.index, encoding=self.encoding, graph=graph)
         if self.encoding == FLOAT32:
             self.records = store.scan(self.spark, path, store.read_manifest(self.spark, path))
-            if not self._own_graph:
-                self._graph = None
+            if self._graph.given:
+                self._graph.forget()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Collection":
@@ -184,6 +188,17 @@ class Collection:
     def export_json(self, path: str) -> None:
         store.export_json(self.spark, path, self.records, self.dimension, self.index)
 
+    def export_json_lines(self, path: str) -> None:
+        """A folder of JSON lines, written in parallel."""
+        store.export_json_lines(self.records, path)
+
+    @classmethod
+    def import_json_lines(cls, spark: SparkSession, path: str, index: IndexKind = EXACT) -> "Collection":
+        """A new collection with the records of JSON lines; ids must not repeat."""
+        c = cls.create(spark, index=index)
+        c.insert(store.import_json_lines(spark, path))
+        return c
+
     @classmethod
     def import_json(cls, spark: SparkSession, path: str) -> "Collection":
         rows, dim, index = store.import_json(spark, path)
@@ -206,12 +221,12 @@ class LazyCollection:
         return self.count() == 0
 
     def search(self, query: Sequence[float], k: int, where: Mapping[str, str] | None = None) -> DataFrame:
-        """Scores ids first; payloads are fetched for the ``k`` survivors only."""
+        """Scores ids first; payloads are fetched for the ``k`` survivors only, by ids that Parquet pages are pruned by."""
         query = check_query(query, self.dimension)
         cond = metadata_equals(where)
         slim = self.records if cond is None else self.records.where(cond)
         top = exact_topk(slim.select("id", "vector"), query, k, dimension=self.dimension).select("id", "score")
-        return _ranked(self.records.join(F.broadcast(top), "id"))  # at most k rows
+        return _ranked(resolve(top, self.records))
 
 
 def _ranked(hits: DataFrame) -> DataFrame:

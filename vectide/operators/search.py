@@ -41,10 +41,10 @@ def exact_topk(df: DataFrame, query: Sequence[float], k: int, where: Mapping[str
     return out.orderBy(vm.rank_key(F.col("score")).desc(), F.col(id)).limit(max(0, int(k)))
 
 
-def batch_knn(df: DataFrame, queries: DataFrame, k: int, where: Mapping[str, str] | None = None, *, id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 256, most_queries: int = 20_000) -> DataFrame:
+def batch_knn(df: DataFrame, queries: DataFrame, k: int, where: Mapping[str, str] | None = None, *, id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 256, most_bytes: int = 32 << 20) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best rows for each query.
 
-    Queries are split into groups of ``most_queries``; each group is a broadcast of that bounded size, every scan task
+    Queries are split into groups of ``most_bytes``; each group is a broadcast of that bounded size, every scan task
     keeps its own best ``k`` of each query, and only these are shuffled, by query. Queries that are null, empty or not
     of the rows' length have no result. Scores are the same bits as those of ``exact_topk``.
     """
@@ -52,8 +52,8 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int, where: Mapping[str, str
     cond = metadata_equals(where)
     rows = (df if cond is None else df.where(cond)).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
     q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<float>").alias("v")).where("q IS NOT NULL AND size(v) > 0")
-    total = q.count()
-    groups = max(1, -(-total // most_queries))
+    held = q.agg(F.sum(F.size("v") * 4 + 16)).first()[0] or 0
+    groups = max(1, -(-held // most_bytes))
     parts = []
     for g in range(groups):
         part = q if groups == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g)
@@ -121,9 +121,19 @@ def _cut(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return score, ids
 
 
+#: Hits up to so many are fetched by their ids, which reach the scan as a pushed filter.
+FETCHED = 1000
+
+
 def resolve(hits: DataFrame, records: DataFrame, id: str = "id") -> DataFrame:
-    """Payload of hits; hits whose record is gone are dropped. Hits are at most k a query, so the plan may broadcast them."""
-    return hits.join(records, id)
+    """Payload of hits; hits whose record is gone are dropped. Up to ``FETCHED`` hits are found first and their records read by
+    id; more are joined."""
+    got = hits.limit(FETCHED + 1).toArrow()
+    if len(got) > FETCHED:
+        return hits.join(records, id)
+    ids = sorted(set(got.column(id).to_pylist()) - {None})
+    local = hits.sparkSession.createDataFrame(got.to_pylist(), hits.schema)
+    return F.broadcast(local).join(records.where(F.col(id).isin(ids)), id)
 
 
 def recall_at_k(truth: DataFrame, got: DataFrame, query_id: str = "query_id", id: str = "id") -> DataFrame:

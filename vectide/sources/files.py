@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 from vectide.errors import StorageError
@@ -29,8 +31,9 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed over the old file: a reader sees the old or the new one."""
+def write_text(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
+    """Written beside and renamed over the old file: a reader sees the old or the new one. Pieces are written as they come,
+    in blocks of about a megabyte."""
     jvm, p, fs = _fs(spark, path)
     parent = p.getParent()
     if parent is not None:
@@ -38,7 +41,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     beside = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     stream = fs.create(beside, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        block, held = [], 0
+        for piece in [text] if isinstance(text, str) else text:
+            block.append(piece)
+            held += len(piece)
+            if held > 1 << 20:
+                stream.write(bytearray("".join(block).encode("utf-8")))
+                block, held = [], 0
+        stream.write(bytearray("".join(block).encode("utf-8")))
     finally:
         stream.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vectide.errors import Corrupt, SerializationError, StorageError, UnsupportedVersion
 from vectide.functions import vecmath as vm
 from vectide.functions.validate import check_rows, check_stored
-from vectide.operators.graph import check_graph
+from vectide.operators.graph import assemble, check_graph, structure
 from vectide.operators.mutate import as_records
 from vectide.schema import EXACT, FLOAT32, RECORD, SCALAR8, GraphParams, IndexKind, graph_index
 from vectide.sources import files
@@ -61,7 +61,7 @@ def save(spark: SparkSession, path: str, records: DataFrame, *, dimension: int |
     }
     if graph is not None:
         about["graph"] = f"graph-{uuid.uuid4().hex[:12]}"
-        graph.select("shard", "node", "id", "neighbors").write.parquet(f"{path}/{about['graph']}")
+        structure(graph).write.parquet(f"{path}/{about['graph']}")
     body = json.dumps(about, sort_keys=True)
     files.write_text(spark, f"{path}/{MANIFEST}", json.dumps({"crc32": zlib.crc32(body.encode()), "body": about}, sort_keys=True, indent=1))
     # the snapshot before this one stays for its readers; older ones go
@@ -127,24 +127,40 @@ def load(spark: SparkSession, path: str) -> Stored:
     if about["graph"] and about["index"] == "graph":
         links = spark.read.parquet(f"{path}/{about['graph']}")
         check_graph(links, records)
-        graph = links.join(records.select("id", "vector"), "id").select("shard", "node", "id", "neighbors", "vector")
+        graph = assemble(links, records)
     return Stored(records, about["dimension"], index, about["encoding"], graph, about["rows"])
 
 
 def export_json(spark: SparkSession, path: str, records: DataFrame, dimension: int | None, index: IndexKind) -> None:
-    """One document ``{dimension, index_kind, records: {id: record}}`` (kind: "Exact" or {"Hnsw": parameters}), for collections that fit the driver; rows are
-    streamed in id order. ``export_json_lines`` is the parallel form."""
+    """One document ``{dimension, index_kind, records: {id: record}}`` (kind: "Exact" or {"Hnsw": parameters}). Rows pass
+    through the driver one by one in id order and none is kept; ``export_json_lines`` is the parallel form."""
     kind = {"Hnsw": asdict(index.params)} if index.params else "Exact"
     head = json.dumps({"dimension": dimension, "index_kind": kind})
-    rows = records.orderBy("id").select("id", F.to_json(F.struct(*RECORD.names)).alias("j")).toLocalIterator()
-    body = ",\n".join(f'  "{r["id"]}": {r["j"]}' for r in rows)
-    files.write_text(spark, path, head[:-1] + ', "records": {\n' + body + "\n}}\n")
+
+    def lines():
+        yield head[:-1] + ', "records": {\n'
+        between = ""
+        for r in records.select("id", F.to_json(F.struct(*RECORD.names)).alias("j")).orderBy("id").toLocalIterator():
+            yield f'{between}  "{r["id"]}": {r["j"]}'
+            between = ",\n"
+        yield "\n}}\n"
+
+    files.write_text(spark, path, lines())
 
 
 def export_json_lines(records: DataFrame, path: str) -> None:
     records.select(*RECORD.names).write.json(path)
 
 
+def import_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines; a line that is none, or has no id or vector, fails."""
+    rows = spark.read.schema("id long, vector array<float>, text string, metadata map<string,string>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    wrong = rows.where("_corrupt IS NOT NULL OR id IS NULL OR vector IS NULL").limit(1).collect()
+    if wrong:
+        raise SerializationError(f"{path} holds a line that is no record")
+    return as_records(rows.drop("_corrupt"))
+
+
 def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, int | None, IndexKind]:
     """Missing ``records``, ``index_kind`` and ``metadata`` have their defaults. Keys must equal the ids they stand for."""
     shape = f"dimension int, index_kind string, records map<string,{RECORD.simpleString()}>, _corrupt string"
@@ -172,4 +188,4 @@ def _kind(text: str | None) -> IndexKind:
         raise SerializationError(f"unknown index kind {text}") from None
 
 
-__all__ = ["Stored", "export_json", "export_json_lines", "import_json", "load", "read_manifest", "save", "scan"]
+__all__ = ["Stored", "export_json", "export_json_lines", "import_json", "import_json_lines", "load", "read_manifest", "save", "scan"]
