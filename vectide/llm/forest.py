@@ -259,14 +259,17 @@ def learn(rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_row
     return Forest([graft(t, {x - f: deep[x] for x in range(f, f + t.leaves) if x in deep}) for t, f in zip(forest.trees, forest.first)])
 
 
-def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: bool, probes: int, coarse: bool) -> DataFrame:
+def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: bool, probes: int, coarse: bool, sent: list | None = None) -> DataFrame:
     """``leaf, role, id, vector`` with a row for each leaf in which ``rows`` are members, are searched for, or both
     (role 1, 2, 3). Members are in their own leaf of each tree; ``probes`` leaves are searched. Vectors are bytes: floats
-    as stored, or with ``coarse`` 8 bits a component, for candidates that are checked elsewhere."""
+    as stored, or with ``coarse`` 8 bits a component, for candidates that are checked elsewhere. ``sent`` takes the broadcast,
+    for callers that can tell when it is no longer needed."""
     trees = len(forest.roots)
     if member and query and probes < trees:
         raise ValueError("members search at least their own leaf of each tree")
     shared = rows.sparkSession.sparkContext.broadcast(forest)
+    if sent is not None:
+        sent.append(shared)
     role = np.full(probes if query else trees, 2 if query else 1, np.int8)
     if member and query:
         role[:trees] = 3

@@ -49,7 +49,7 @@ COARSE = 0.012
 #: Texts or vectors of up to so many rows of a batch are broadcast (20 MB of vectors).
 SMALL_TEXTS = 20_000
 #: Small batches that wait together are decided in steps of up to so many rows; a larger batch is a step.
-STEP_ROWS = 5_000
+STEP_ROWS = 20_000
 #: Parts of one level that are merged into one.
 MERGE = 8
 #: Blocks of searches that are sent to the stored leaves; more searches meet the leaves in a shuffle.
@@ -169,10 +169,12 @@ class Common:
         return np.where(self.chunks[at] == chunks, self.counts[at], 0)
 
 
-def prefixes(rows: DataFrame, common: Common) -> DataFrame:
+def prefixes(rows: DataFrame, common: Common, sent: list | None = None) -> DataFrame:
     """``chunk, key, n, bits``: each record's chunks from rare to common until those left hold fewer bytes than it must
     share."""
     order = rows.sparkSession.sparkContext.broadcast(common)
+    if sent is not None:
+        sent.append(order)
 
     def run(batches):
         rank = order.value
@@ -210,10 +212,16 @@ class History:
         self.scratch = Scratch(spark, "history")
         self.forest = forest or pickle.loads(b64decode(files.read_text(spark, f"{path}/{about['forest']}")))
         self.common = common or Common.of(self.table("common"))
+        self._sent: list = []  # broadcasts of the last decision
         self.rows = self.table("rows")
         if about["source"]:
             self.rows = _keyed(spark.read.parquet(about["source"])).unionByName(self.rows)
 
+    def release(self) -> None:
+        """Drops what was sent to the executors for decisions, once their tables are written."""
+        while self._sent:
+            self._sent.pop().destroy()
+
     def table(self, name: str) -> DataFrame:
         """All parts of a table in one scan."""
         parts = [f"{self.path}/{p}" for level in self.about["parts"][name] for p in level]
@@ -316,7 +324,7 @@ class History:
         # among the rows themselves, chunks that are common here are put last as well
         here = reps.select(F.explode("hashes").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
         common = self.common | Common.of(here.where(F.col("n") > max(COMMON_ROWS, n // MOST_COMMON)))
-        prefix = prefixes(reps, self.common).withColumn("own", F.lit(False)).unionByName(prefixes(reps, common).withColumn("own", F.lit(True)))
+        prefix = prefixes(reps, self.common, self._sent).withColumn("own", F.lit(False)).unionByName(prefixes(reps, common, self._sent).withColumn("own", F.lit(True)))
         prefix, m = s.counted(prefix, "prefixes")
         x, table = prefix.where("NOT own"), self.table("chunk_table")
         x = broadcast_if(x, m, rp.SMALL)
@@ -338,7 +346,7 @@ class History:
         reps = rows.where("vcls = key")
         mine = broadcast_if(reps.select("h1", "h2", F.col("key").alias("cls")), n, rp.SMALL)
         same = self.table("vectors").withColumnRenamed("key", "other").join(mine, ["h1", "h2"]).select("cls", "other", F.lit(True).alias("old"))
-        asks, m = s.counted(rp.route(reps.select(F.col("key").alias("id"), "vector"), self.forest, self.dim, member=True, query=True, probes=PROBES, coarse=True), "asks")
+        asks, m = s.counted(rp.route(reps.select(F.col("key").alias("id"), "vector"), self.forest, self.dim, member=True, query=True, probes=PROBES, coarse=True, sent=self._sent), "asks")
         near = close_pairs(asks, self.dim, MIN_COS - COARSE).select("id", "other", F.lit(False).alias("old"))
         blocks, leaves = ask_blocks(asks, m), self.table("leaves")
         if len(blocks) > MOST_BLOCKS:
@@ -346,7 +354,7 @@ class History:
             near = near.unionByName(close_pairs(searches, self.dim, MIN_COS - COARSE).select("id", "other", F.lit(True).alias("old")))
         else:
             for block in blocks:
-                near = near.unionByName(probe_leaves(leaves, block, self.dim, MIN_COS - COARSE).select("id", "other", F.lit(True).alias("old")))
+                near = near.unionByName(probe_leaves(leaves, block, self.dim, MIN_COS - COARSE, self._sent).select("id", "other", F.lit(True).alias("old")))
         pairs = s.table(near.where("old OR id != other").distinct(), "vector-candidates")
         theirs = self._fetch(pairs.where("old").select(F.col("other").alias("key")), "vector").withColumn("old", F.lit(True))
         theirs = theirs.unionByName(reps.select("key", "vector", F.lit(False).alias("old"))).select(F.col("key").alias("other"), "old", F.col("vector").alias("y"))
@@ -424,7 +432,9 @@ class History:
         files.write_text(spark, f"{self.path}/manifest.json", json.dumps(about))
         for part in stale:  # parts merged now stay until the next merge, for those who read them
             files.remove(spark, f"{self.path}/{part}")
-        return History(spark, self.path, about, self.common, self.forest)
+        new = History(spark, self.path, about, self.common, self.forest)
+        new._sent, self._sent = self._sent, []
+        return new
 
     def _part(self, about: dict, name: str, df: DataFrame, level: int = 0) -> DataFrame:
         part = f"{name}-{uuid.uuid4().hex[:12]}"
@@ -520,7 +530,7 @@ def ask_blocks(asks: DataFrame, n: int) -> list[DataFrame]:
     return [asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asks]
 
 
-def probe_leaves(leaves: DataFrame, asks: DataFrame, dim: int, at: float) -> DataFrame:
+def probe_leaves(leaves: DataFrame, asks: DataFrame, dim: int, at: float, sent: list) -> DataFrame:
     """The same for one block of searches against the stored leaves, which are not shuffled: the block is broadcast, and
     as the table is sorted by leaf, row groups of leaves that nobody asks for are skipped."""
     got = asks.select("leaf", "id", "vector").toArrow()
@@ -529,6 +539,7 @@ def probe_leaves(leaves: DataFrame, asks: DataFrame, dim: int, at: float) -> Dat
     probed, start = np.unique(leaf[order], return_index=True)
     codes = rp.matrix(got.column("vector"), dim)[order] if len(leaf) else np.zeros((0, dim), np.int8)
     shared = leaves.sparkSession.sparkContext.broadcast((probed, np.append(start, len(leaf)), ids[order], codes))
+    sent.append(shared)
 
     def run(batches):
         probed, start, ids, codes = shared.value
@@ -586,6 +597,7 @@ def dedup_batches(history: History, incoming: DataFrame, *, step_rows: int = STE
         done.append(d.decided._scratch_path)
         if step is not steps[-1]:
             history = history.append(d)
+        history.release()
     kind = "key long, pos struct<batch_no:long,recv_id:long>, id long, match long, accepted boolean"
     return incoming.sparkSession.read.schema(kind).parquet(*done) if done else incoming.sparkSession.createDataFrame([], kind)
 
@@ -605,5 +617,37 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     return decided.where("NOT accepted").select(F.col("match").alias("id"), F.col("key").alias("recv_id"))
 
 
+#: Row after row, against all pairs. SQL has no NFKC: of compatibility characters only full-width ones are folded.
+_WIDE, _NARROW = ("".join(chr(at + i) for i in range(94) if chr(0x21 + i) != "'") for at in (0xFF01, 0x21))
+P1_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT 0 AS n, id AS k, id, vector, coalesce(text, '') AS text FROM records UNION ALL
+  SELECT row_number() OVER (ORDER BY batch_no, recv_id), recv_id, id, vector, coalesce(text, '') FROM incoming),
+x AS (SELECT n, k, id, list_distinct(regexp_extract_all(lower(nfc_normalize(translate(text, 'WIDE', 'NARROW'))), '[\p{L}\p{Nd}]+')) AS t,
+    list_transform(range(1, 97), lambda j: CASE WHEN isfinite(vector[j]) THEN vector[j]::DOUBLE ELSE 0 END) AS v,
+    coalesce(len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(vector, lambda x: abs(x))) > 0, false) AS ok FROM w),
+r AS (SELECT * FROM x WHERE n = 0),
+i AS (SELECT n, k AS recv_id, id, t, v, ok FROM x WHERE n > 0),
+hit AS (
+  SELECT i.n, min(r.id) AS old FROM i, r
+  WHERE i.id = r.id OR (i.ok AND r.ok AND round(list_cosine_similarity(i.v, r.v), 6) >= 0.985)
+    OR (len(i.t) > 0 AND len(r.t) > 0 AND len(list_intersect(i.t, r.t)) >= 0.8 * (len(i.t) + len(r.t) - len(list_intersect(i.t, r.t))) - 1e-9)
+  GROUP BY i.n),
+pair AS (
+  SELECT a.n, list(b.n) AS before FROM i a, i b
+  WHERE b.n < a.n AND b.id IS NOT NULL AND (a.id = b.id OR (a.ok AND b.ok AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.985)
+    OR (len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9))
+  GROUP BY a.n),
+j AS (SELECT i.n, i.recv_id, i.id, hit.old, coalesce(pair.before, []) AS before FROM i LEFT JOIN hit ON hit.n = i.n LEFT JOIN pair ON pair.n = i.n),
+s AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS accepted, []::BIGINT[] AS seen
+  UNION ALL
+  SELECT j.n, CASE WHEN j.old IS NULL AND len(list_intersect(j.before, s.accepted)) = 0 AND j.id IS NOT NULL THEN list_append(s.accepted, j.n) ELSE s.accepted END,
+    list_intersect(j.before, s.accepted)
+  FROM s JOIN j ON j.n = s.n + 1)
+SELECT least(j.old, min(b.id)) AS id, j.recv_id FROM j JOIN s ON s.n = j.n LEFT JOIN j b ON list_contains(s.seen, b.n)
+WHERE j.old IS NOT NULL OR len(s.seen) > 0 GROUP BY j.recv_id, j.old
+""".replace("WIDE", _WIDE).replace("NARROW", _NARROW)
+
 QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+SQL = {"p1_found": P1_SQL}
