@@ -19,54 +19,49 @@ _SPACE = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+"
 _RUNS = "meta_key string, term string, occurrences long, records long"
 
 
-def metadata_terms(metadata: Column, id: Column, list_keys: tuple[str, ...] = ("tags",)) -> list[Column]:
-    """(id, key, value pieces) of each entry: list keys are cut at ``;``, ``,`` and ``|``, others are one piece."""
-    return [id.alias("id"), F.explode(metadata).alias("meta_key", "value")]
-
-
 def term_counts(records: DataFrame, metadata: str = "metadata", id: str = "id", list_keys: tuple[str, ...] = ("tags",)) -> DataFrame:
     """``meta_key, term, occurrences, records`` of each term of a string map.
 
-    Terms are stripped of white space at both ends, lower-cased, and dropped if empty. ``records`` counts distinct ids;
+    Values of ``list_keys`` are cut at ``;``, ``,`` and ``|``; any other value is one term. Terms are stripped of white space at both ends, lower-cased, and dropped if empty. ``records`` counts distinct ids;
     rows that repeat an id count once, and all rows with a null id count as one record. Null maps, null values and
     empty tables give no terms. Other columns, whatever their names, are never read.
     """
-    cells = records.select(*metadata_terms(records[metadata], records[id], list_keys))
+    cells = records.select(records[id].alias("id"), F.explode(records[metadata]).alias("meta_key", "value"))
     pieces = F.when(F.col("meta_key").isin(*list_keys), F.split("value", "[;,|]")).otherwise(F.array("value"))
     clean = F.transform(pieces, lambda x: F.lower(F.regexp_replace(x, f"^{_SPACE}|{_SPACE}$", "")))
     terms = F.filter(clean, lambda x: x.isNotNull() & (x != ""))
     # a record's repeats of a term are combined before the shuffle
     once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).alias("n")))
     triples = cells.select("meta_key", "id", F.explode(once).alias("e")).select(
-        "meta_key", F.col("e.t").alias("term"), F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.col("e.n").alias("n"))
-    key = ["meta_key", "term", "id"]
+        "meta_key", F.col("e.t").alias("term"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("e.n").alias("n"), F.col("id").isNull().alias("nameless"))
+    key = ["meta_key", "term", "nameless", "id"]
     runs = triples.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_scan, _RUNS)
     return runs.groupBy("meta_key", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def _scan(batches):
     """Run lengths of a sorted stream, batch by batch; the last run of a batch may go on in the next."""
-    held = None  # (key, term, occurrences, records, last id)
+    held = None  # (key, term, occurrences, records, last record)
     for b in batches:
         if not b.num_rows:
             continue
-        k, t, i, n = (b.column(x) for x in range(4))
-        ids, n = i.to_numpy(), n.to_numpy().astype(np.int64)
+        k, t = b.column(0), b.column(1)
+        ids, n, nameless = b.column(2).to_numpy(), b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy(zero_copy_only=False)
         new_term = np.ones(b.num_rows, bool)
         if b.num_rows > 1:
             new_term[1:] = pc.or_(pc.not_equal(k.slice(1), k.slice(0, b.num_rows - 1)), pc.not_equal(t.slice(1), t.slice(0, b.num_rows - 1))).to_numpy(zero_copy_only=False)
         new_id = new_term.copy()
-        new_id[1:] |= ids[1:] != ids[:-1]
+        new_id[1:] |= (ids[1:] != ids[:-1]) | (nameless[1:] != nameless[:-1])
         at = np.flatnonzero(new_term)
         occ, rec = np.add.reduceat(n, at), np.add.reduceat(new_id.astype(np.int64), at)
         keys, terms = k.take(pa.array(at)).to_pylist(), t.take(pa.array(at)).to_pylist()
         if held is not None:
             if (held[0], held[1]) == (keys[0], terms[0]):
                 occ[0] += held[2]
-                rec[0] += held[3] - (held[4] == ids[0])
+                rec[0] += held[3] - (held[4] == (ids[0], nameless[0]))
             else:
                 yield _batch([held[0]], [held[1]], [held[2]], [held[3]])
-        held = (keys[-1], terms[-1], int(occ[-1]), int(rec[-1]), ids[-1])
+        held = (keys[-1], terms[-1], int(occ[-1]), int(rec[-1]), (ids[-1], nameless[-1]))
         if len(at) > 1:
             yield _batch(keys[:-1], terms[:-1], occ[:-1], rec[:-1])
     if held is not None:
