@@ -358,5 +358,14 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
     return p3_clusters(spark, sf_dir).where(tight).select("cluster_id", "id")
 
 
+#: By definition instead of linkage: records with the same neighbours at 0.75 (themselves included), all of them 0.80 close.
+P3_SQL = """
+WITH r AS (SELECT id, vector::DOUBLE[] AS v FROM records WHERE list_max(list_transform(vector, lambda x: abs(x))) > 0),
+p AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1 ELSE round(list_cosine_similarity(a.v, b.v), 6) END AS c FROM r a, r b) WHERE c >= 0.75),
+n AS (SELECT a, list_sort(list(b)) AS near, min(c) AS least FROM p GROUP BY a),
+k AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND count(*) >= 3 AND min(least) >= 0.80)
+SELECT near[1] AS cluster_id, unnest(near) AS id FROM k
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters}
-SQL: dict[str, str] = {}
+SQL = {"p3_found": P3_SQL}
