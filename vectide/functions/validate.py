@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.errors import Corrupt, DimensionMismatch, InvalidId, InvalidVector
+from vectide.errors import DimensionMismatch, InvalidId, InvalidVector
 
 EMPTY, NOT_FINITE, WRONG_SIZE = "vector cannot be empty", "all values must be finite", "dimension"
 
@@ -54,13 +54,3 @@ def check_query(query: Sequence[float], dimension: int | None) -> list[float]:
 def check_dimension(dimension: int | None) -> None:
     if dimension is not None and dimension < 1:
         raise InvalidVector("dimension must be greater than zero")
-
-
-def check_stored(df: DataFrame, dimension: int | None, rows: int) -> None:
-    """A stored table must hold what its manifest says, with valid vectors and unique ids."""
-    fault = vector_fault(F.col("vector"), dimension)
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(fault.isNotNull()).alias("bad")).first()
-    if seen["n"] != rows:
-        raise Corrupt(f"{rows} records expected, {seen['n']} found")
-    if seen["bad"]:
-        check_rows(df, dimension)

@@ -12,12 +12,12 @@ import uuid
 import zlib
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.errors import Corrupt, SerializationError, StorageError, UnsupportedVersion
 from vectide.functions import vecmath as vm
-from vectide.functions.validate import check_rows, check_stored
+from vectide.functions.validate import check_rows, vector_fault
 from vectide.operators.graph import assemble, check_graph, structure
 from vectide.operators.mutate import as_records
 from vectide.schema import EXACT, FLOAT32, RECORD, SCALAR8, GraphParams, IndexKind, graph_index
@@ -37,10 +37,10 @@ class Stored:
     rows: int
 
 
-def _checksum(df: DataFrame) -> int:
-    """Order-free sum over rows, so that it is computed in parallel."""
+def _row_sum() -> Column:
+    """Aggregate over stored rows: an order-free sum, so that it is computed in parallel."""
     row = F.crc32(F.to_json(F.struct("id", "vector", "text", F.array_sort(F.map_entries("metadata")).alias("m"))).cast("binary"))
-    return int(df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("s")).first()["s"])
+    return F.coalesce(F.sum(row), F.lit(0)).alias("sum")
 
 
 def save(spark: SparkSession, path: str, records: DataFrame, *, dimension: int | None, index: IndexKind, encoding: str, graph: DataFrame | None = None) -> None:
@@ -52,12 +52,12 @@ def save(spark: SparkSession, path: str, records: DataFrame, *, dimension: int |
         low, high = stored.agg(*vm.bounds(F.col("vector"))).first()
         codes = vm.quantize(F.col("vector"), F.lit(low).cast("float"), F.lit(high).cast("float"))
         stored = stored.withColumn("vector", codes)
-    stored.write.parquet(f"{path}/{snapshot}")
-    back = spark.read.parquet(f"{path}/{snapshot}")
+    seen = Observation()  # rows are counted and summed while they are written
+    stored.observe(seen, F.count(F.lit(1)).alias("rows"), _row_sum()).write.parquet(f"{path}/{snapshot}")
     about = {
         "magic": MAGIC, "major": MAJOR, "minor": MINOR, "dimension": dimension, "encoding": encoding, "index": index.name,
-        "params": asdict(index.params) if index.params else None, "snapshot": snapshot, "rows": back.count(),
-        "checksum": _checksum(back), "qmin": float(low), "qmax": float(high), "graph": None,
+        "params": asdict(index.params) if index.params else None, "snapshot": snapshot, "rows": seen.get["rows"],
+        "checksum": int(seen.get["sum"]), "qmin": float(low), "qmax": float(high), "graph": None,
     }
     if graph is not None:
         about["graph"] = f"graph-{uuid.uuid4().hex[:12]}"
@@ -102,10 +102,12 @@ def scan(spark: SparkSession, path: str, about: dict) -> DataFrame:
     """Lazy scan with vectors as floats; only the columns a query needs are read."""
     if not files.exists(spark, f"{path}/{about['snapshot']}"):
         raise Corrupt("the snapshot is missing")
-    df = spark.read.parquet(f"{path}/{about['snapshot']}")
-    if about["encoding"] == SCALAR8:
-        df = df.withColumn("vector", vm.dequantize(F.col("vector"), F.lit(about["qmin"]).cast("float"), F.lit(about["qmax"]).cast("float")))
-    return df.select(*RECORD.names)
+    return spark.read.parquet(f"{path}/{about['snapshot']}").withColumn("vector", _floats(about)).select(*RECORD.names)
+
+
+def _floats(about: dict) -> Column:
+    v = F.col("vector")
+    return v if about["encoding"] != SCALAR8 else vm.dequantize(v, F.lit(about["qmin"]).cast("float"), F.lit(about["qmax"]).cast("float"))
 
 
 def load(spark: SparkSession, path: str) -> Stored:
@@ -113,9 +115,14 @@ def load(spark: SparkSession, path: str) -> Stored:
     records = scan(spark, path, about)
     raw = spark.read.parquet(f"{path}/{about['snapshot']}")
     try:
-        if _checksum(raw) != about["checksum"]:
+        fault = vector_fault(_floats(about), about["dimension"])
+        seen = raw.agg(_row_sum(), F.count(F.lit(1)).alias("rows"), F.count_if(fault.isNotNull()).alias("bad")).first()
+        if seen["sum"] != about["checksum"]:
             raise Corrupt("checksum of the records")
-        check_stored(records, about["dimension"], about["rows"])
+        if seen["rows"] != about["rows"]:
+            raise Corrupt(f"{about['rows']} records expected, {seen['rows']} found")
+        if seen["bad"]:
+            check_rows(records, about["dimension"])
     except Corrupt:
         raise
     except Exception as e:
