@@ -51,6 +51,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._tables: list[str] = []
         _written[self.base] = spark
 
     def path(self, name: str) -> str:
@@ -61,6 +62,7 @@ class Scratch:
         """Write ``df`` as Parquet and return a scan of it; the scan remembers its folder for ``drop``."""
         path = self.path(name)
         df.write.parquet(path)
+        self._tables.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -72,11 +74,20 @@ class Scratch:
         return out, seen.get["n"]
 
     def drop(self, *tables: DataFrame) -> None:
+        self._delete([t._scratch_path for t in tables])
+
+    def sweep(self, *keep: DataFrame) -> None:
+        """Drops all tables written here so far but ``keep``."""
+        kept = {t._scratch_path for t in keep}
+        self._delete([p for p in self._tables if p not in kept])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(getattr(t, "_scratch_path"))
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+        self._tables = [p for p in self._tables if p not in set(paths)]
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
