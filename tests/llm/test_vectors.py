@@ -286,18 +286,17 @@ def test_farthest_first_and_subsets(spark):
     assert len(many) == len(set(many)) == 200 and sum(305 <= i < 455 for i in many) <= 6
 
 
-def test_subsets_of_a_cut_pool_are_as_far_apart(spark):
-    """Leaves of the pool fill no shares: the mean squared distance to the nearest chosen row is that of one leaf."""
+def test_subsets_of_a_cut_pool_cover_as_well(spark):
+    """Leaves of the pool fill no shares: the largest distance to the nearest chosen row is near that of one leaf, and small
+    groups beside a large one are met as often. A random sample leaves most of them out."""
     x = rp.unit(blobs([600] + [3] * 60, seed=2, spread=0.5))
     df = frame(spark, x).withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
-
-    def radius(**kw):
-        chosen = [r["id"] - 1 for r in varied_subset(df, 100, dim=DIM, part_rows=100, **kw).collect()]
-        return float((2 - 2 * (x @ x[chosen].T)).min(1).mean())
-
-    one, cut = radius(), radius(pool_most=120)
-    spread = np.mean([(2 - 2 * (x @ x[np.random.default_rng(i).choice(len(x), 100, replace=False)].T)).min(1).mean() for i in range(5)])
-    assert cut < 1.1 * one and cut < 0.9 * spread
+    farthest = lambda chosen: float((2 - 2 * (x @ x[chosen].T)).min(1).max())
+    met = lambda chosen: len({(i - 600) // 3 for i in chosen if i >= 600})
+    one, cut = ([r["id"] - 1 for r in varied_subset(df, 100, dim=DIM, part_rows=100, **kw).collect()] for kw in ({}, {"pool_most": 120}))
+    some = [np.random.default_rng(i).choice(len(x), 100, replace=False) for i in range(5)]
+    assert farthest(cut) < 1.25 * farthest(one) < 1.25 * min(map(farthest, some))
+    assert met(cut) >= 0.9 * met(one) > max(map(met, some))
 
 
 def test_subset_larger_than_the_table(spark):

@@ -46,7 +46,7 @@ class Tree:
 
 
 def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
-    """Splits by planes between two random rows at the median. Of ``tries`` planes the one with the fewest rows close
+    """Splits by planes between two random rows where both sides fill whole leaves evenly. Of ``tries`` planes the one with the fewest rows close
     to it is kept, so that neighbours are seldom parted."""
     rng = np.random.default_rng(seed)
     normals, offsets, below, above = [], [], [], []
@@ -56,6 +56,7 @@ def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
         rows, parent, is_above = todo.pop()
         best = None
         if len(rows) > leaf:
+            parts = -(-len(rows) // leaf)
             for _ in range(tries):
                 a, b = x[rng.choice(rows, 2, replace=False)]
                 w = a - b
@@ -64,7 +65,7 @@ def fit_tree(x: np.ndarray, leaf: int, seed: int, tries: int = 8) -> Tree:
                     continue
                 w = w / norm
                 m = x[rows] @ w
-                cut = np.median(m)
+                cut = np.quantile(m, parts // 2 / parts)
                 if (np.abs(m - cut) < TIED).sum() > 8 + len(rows) // 100:  # scaled copies: rounding must not part them
                     cut = cut - 2 * TIED if (m < cut - 2 * TIED).any() else cut + 2 * TIED
                 low = m < cut

@@ -11,7 +11,7 @@ from vectide.plans.scratch import Scratch, broadcast_if
 DIM = 96
 #: Each vector is a member of its own leaf of every tree and searches the PROBES first leaves of the queue, so PROBES copies
 #: of it are shuffled; see the README for recall.
-TREES, PROBES, LEAF_ROWS = 5, 6, 8192
+TREES, PROBES, LEAF_ROWS = 4, 5, 8192
 
 
 def nearest(
@@ -44,33 +44,38 @@ def nearest(
         routed = members.unionByName(asks)
     lists = rp.merge_lists(rp.search_leaves(routed, dim, k, min_cos, leaf_rows=leaf_rows), k)
     if n_copies:
-        lists = _with_copies(scratch.table(lists, "lists"), reps, copies, n_copies, k)
+        lists = _with_copies(scratch.table(lists, "lists"), copies, n_copies, k, scratch)
     if queries is not None:
         lists = lists.where(queries)
     pairs = lists.select("id", F.posexplode("near").alias("p", "e"))
     return pairs.select("id", F.col("e.b").alias("other"), (-F.col("e.c") / F.lit(1e6)).alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
-def _with_copies(lists: DataFrame, reps: DataFrame, copies: DataFrame, n: int, k: int) -> DataFrame:
+def _with_copies(lists: DataFrame, copies: DataFrame, n: int, k: int, scratch: Scratch) -> DataFrame:
     """Lists of representatives made into lists of all rows. Of a set of copies only the k + 1 smallest ids can be in any
     list, so a set of any size is a short list of heads."""
     smallest = Window.partitionBy("rep").orderBy("id")
     heads = copies.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k)
     heads = heads.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     heads = heads.select("rep", F.concat(F.array("rep"), "ids").alias("heads"))
-    heads = broadcast_if(heads, n, rp.SMALL)
+    heads = broadcast_if(scratch.table(heads, "heads"), n, rp.SMALL)
+    # only lists that name a set of copies change, and those of the sets themselves
+    named = lists.select("id", F.explode("near.b").alias("rep")).join(heads.select("rep"), "rep", "left_semi").select("id")
+    touched, m = scratch.counted(named.unionByName(heads.select(F.col("rep").alias("id"))).distinct(), "touched")
+    touched = broadcast_if(touched, m, rp.SMALL)
+    others = lists.join(touched, "id", "left_anti")
     # neighbours that stand for copies
-    e = lists.select("id", F.explode("near").alias("e")).select("id", F.col("e.c").alias("c"), F.col("e.b").alias("rep"))
+    e = lists.join(touched, "id", "left_semi").select("id", F.explode("near").alias("e")).select("id", F.col("e.c").alias("c"), F.col("e.b").alias("rep"))
     e = e.join(heads, "rep", "left").withColumn("heads", F.coalesce("heads", F.array("rep")))
     e = e.select("id", F.explode("heads").alias("b"), "c")
     own = heads.select(F.col("rep").alias("id"), F.explode("heads").alias("b"), F.lit(-1_000_000).alias("c"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("c", "b"))), 1, k + 1)
-    of_rep = e.unionByName(own).groupBy("id").agg(best.alias("near"))
+    of_rep = scratch.table(e.unionByName(own).groupBy("id").agg(best.alias("near")), "of-representatives")
     # every copy has its representative's list; the representative has its own
     twins = broadcast_if(copies.withColumnRenamed("id", "twin"), n, rp.SMALL)
     of_copy = of_rep.join(twins, of_rep["id"] == twins["rep"]).select(F.col("twin").alias("id"), "near")
-    every = of_rep.unionByName(of_copy)
-    return every.select("id", F.slice(F.filter("near", lambda x: x["b"] != F.col("id")), 1, k).alias("near"))
+    changed = of_rep.unionByName(of_copy)
+    return changed.select("id", F.slice(F.filter("near", lambda x: x["b"] != F.col("id")), 1, k).alias("near")).unionByName(others)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
@@ -85,5 +90,15 @@ def p4_nearest(spark, sf_dir: str) -> DataFrame:
     return nearest(records, 10, -1.0, queries=F.col("id") % 50 == 0, trees=2, probes=32)
 
 
+#: Brute force over all pairs: exact, and so are our rows while all records share one leaf (up to LEAF_ROWS).
+_PAIRS = """
+WITH r AS (SELECT id, vector::DOUBLE[] AS v FROM records WHERE list_max(list_transform(vector, lambda x: abs(x))) > 0),
+p AS (SELECT * FROM (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM r a, r b WHERE a.id <> b.id{asked}) WHERE cosine >= {least}),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other)::INTEGER AS rank FROM p)
+"""
+
 QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": _PAIRS.format(asked="", least=0.8) + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE rank <= 10",
+    "p4_nearest": _PAIRS.format(asked=" AND a.id % 50 = 0", least=-1) + "SELECT id, other, cosine, rank FROM k WHERE rank <= 10",
+}
