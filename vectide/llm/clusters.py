@@ -205,10 +205,12 @@ def _local(rows: DataFrame, dim: int, at: float) -> DataFrame:
         ids = table.column("id").to_numpy()
         x = rp.matrix(table.column("vector"), dim).astype(np.float64)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        own = linkage(u, table.column("w").to_numpy(), at)
         inside, outside = np.ones(len(u)), np.full(len(u), -1.0)
+        whole = u @ u.T if len(u) <= 2048 else None
+        # if all pairs are that close, so are all averages on the way to one cluster
+        own = np.zeros(len(u), int) if whole is not None and whole.min() > at + 1e-9 else linkage(u, table.column("w").to_numpy(), at)
         for s in range(0, len(u), 512):
-            c = u[s : s + 512] @ u.T
+            c = u[s : s + 512] @ u.T if whole is None else whole[s : s + 512]
             same = own[s : s + 512, None] == own[None, :]
             inside[s : s + 512] = np.where(same, c, 1.0).min(1)
             outside[s : s + 512] = np.where(same, -1.0, c).max(1)
