@@ -16,6 +16,7 @@ coverage, and the word sets of those that pass are compared exactly.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import pickle
@@ -48,8 +49,9 @@ TREES, PROBES = 2, 8
 COARSE = 0.012
 #: Texts or vectors of up to so many rows of a batch are broadcast (20 MB of vectors).
 SMALL_TEXTS = 20_000
-#: Small batches that wait together are decided in steps of up to so many rows; a larger batch is a step.
-STEP_ROWS = 20_000
+#: Small batches that wait together are decided in steps of up to so many rows, as many as are sent to the history's tables
+#: at once; a larger batch is a step.
+STEP_ROWS = rp.SMALL
 #: Parts of one level that are merged into one.
 MERGE = 8
 #: Blocks of searches that are sent to the stored leaves; more searches meet the leaves in a shuffle.
@@ -218,9 +220,12 @@ class History:
             self.rows = _keyed(spark.read.parquet(about["source"])).unionByName(self.rows)
 
     def release(self) -> None:
-        """Drops what was sent to the executors for decisions, once their tables are written."""
+        """Drops what was sent to the executors for decisions, once their tables are written. Plans, shuffles and broadcasts
+        of a step are held until the driver collects its garbage, so this is done once a step."""
         while self._sent:
             self._sent.pop().destroy()
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def table(self, name: str) -> DataFrame:
         """All parts of a table in one scan."""
@@ -269,7 +274,10 @@ class History:
         put("leaves", leaves.repartitionByRange("leaf", "id").sortWithinPartitions("leaf"))
         files.write_text(spark, f"{path}/{about['forest']}", b64encode(pickle.dumps(forest)).decode())
         files.write_text(spark, f"{path}/manifest.json", json.dumps(about))
-        return cls(spark, path, about, common, forest)
+        s.sweep()
+        history = cls(spark, path, about, common, forest)
+        history.release()
+        return history
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "History":
@@ -595,8 +603,9 @@ def dedup_batches(history: History, incoming: DataFrame, *, step_rows: int = STE
         here = F.col("batch").between(named[0], named[-1]) if named else F.lit(False)
         d = history.decide(rows.where(here | F.col("batch").isNull() if None in step else here).drop("batch"))
         done.append(d.decided._scratch_path)
-        if step is not steps[-1]:
-            history = history.append(d)
+        after = history.append(d)
+        history.scratch.sweep(d.decided)
+        history = after
         history.release()
     kind = "key long, pos struct<batch_no:long,recv_id:long>, id long, match long, accepted boolean"
     return incoming.sparkSession.read.schema(kind).parquet(*done) if done else incoming.sparkSession.createDataFrame([], kind)
