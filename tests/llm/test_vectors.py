@@ -303,3 +303,49 @@ def test_subset_larger_than_the_table(spark):
     x = blobs([50])
     df = frame(spark, x).withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
     assert varied_subset(df.union(df), 10_000, dim=DIM).count() == 50 and varied_subset(df, 0, dim=DIM).isEmpty()
+
+
+@pytest.mark.parametrize("block", [65_536, 120])
+def test_groups_that_outgrow_a_leaf_are_found_whole(spark, monkeypatch, block):
+    """Two dense groups of several leaves' rows among others: all neighbours of their rows come out, in order."""
+    monkeypatch.setattr(rp, "BLOCK_ROWS", block)
+    x = blobs([700, 400] + [3] * 100, seed=9, spread=0.3)
+    ids = random.Random(1).sample(range(1, 9000), len(x))
+    got, want = lists(nearest(frame(spark, x, ids), 10, 0.8, dim=DIM, leaf_rows=100)), brute(x, ids, 10, 0.8)
+    core = rp.fit_cells(rp.unit(x), len(x), 0.8).is_core(rp.unit(x))
+    assert core[:1100].mean() > 0.95
+    assert all([b for b, _ in got[i]] == [b for b, _ in want[i]] for i, c in zip(ids, core) if c)
+    assert sum(len({b for b, _ in got.get(i, [])} & {b for b, _ in v}) for i, v in want.items()) >= 0.97 * sum(map(len, want.values()))
+
+
+def test_pairs_of_core_rows_meet_in_one_task_of_their_cell():
+    x = rp.unit(np.concatenate([blobs([300, 200], seed=9, spread=0.3), np.random.default_rng(2).normal(size=(400, DIM))]))
+    ids = np.arange(1000, 1000 + len(x))
+    cells = rp.fit_cells(x, len(x), 0.8)
+    cells = rp.Cells(cells.centers, np.arccos(cells.core), np.full(len(cells.core), 3), 0.8)
+    core, i, task, role = cells.place(x, ids, 3)
+    assert 250 < core.sum() < len(x)
+    held = {}
+    for t in np.unique(task).tolist():
+        for members, asks in rp._blocks(role[task == t]):
+            rows = i[task == t]
+            for a in rows[asks].tolist():
+                for b in rows[members].tolist():
+                    cell = int(np.searchsorted(cells.first, t, "right"))
+                    held[a, b, cell] = held.get((a, b, cell), 0) + 1
+    assert set(held.values()) == {1}
+    met = {(a, b) for a, b, _ in held}
+    near = x.astype(np.float64) @ x.T.astype(np.float64) >= 0.8
+    assert all((a, b) in met for a, b in np.argwhere(near & core[:, None]).tolist())
+
+
+def test_grids_give_own_leaves_first_and_then_the_nearest():
+    x = rp.unit(blobs([20] * 20, seed=5, spread=1))
+    g = rp.Grids(x, 4000, 2, 200)
+    got = g.search(x, 7)
+    cos = [x @ c.T for c in g.centers]
+    assert (got[:, 0] == cos[0].argmax(1)).all() and (got[:, 1] == 20 + cos[1].argmax(1)).all()
+    less = np.concatenate([c.max(1, keepdims=True) - c for c in cos], 1)
+    paid = np.take_along_axis(less, got, 1)
+    assert (np.diff(paid[:, 2:]) >= 0).all() and np.allclose(paid[:, -1], np.sort(less, 1)[:, 6], atol=1e-6)
+    assert (rp.Grids(x[:0], 0, 2, 200).search(x[:3], 4) == [0, 1, -1, -1]).all()

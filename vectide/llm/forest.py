@@ -5,7 +5,8 @@ taken through one priority queue shared by all trees, best first over their node
 distance by which the path to it crosses a hyperplane to the wrong side, so the row's own leaf of each tree comes first
 and leaves behind near planes follow. One shuffle brings rows and their searches together by leaf; inside a leaf all
 candidates are reranked by exact cosines. Exact copies of a vector are collapsed before, so a leaf can't be flooded by one
-vector.
+vector. Planes part groups that outgrow a leaf; where a least cosine is asked, ``Cells`` keep such groups whole and ``Grids``
+take the place of the trees for other rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,16 @@ FOREST_BYTES = 256 << 20
 #: Rows that a leaf should hold. A leaf that holds more than twice as many all the same is split inside its own task.
 LEAF_ROWS = 4096
 TREES = 4
+#: Fewest sample rows of a dense group that has a cell of its own; so there are at most SAMPLE_ROWS / CELL_SAMPLE cells.
+CELL_SAMPLE = 8
+#: Least cosine asked for which cells are looked for: below it a cell would reach over unrelated rows.
+CELL_COS = 0.5
+#: Widest angle between a cell's center and its core rows.
+CELL_WIDE = 0.5
+#: Rows of a cell that one block may hold; any two blocks of a cell meet in one task.
+BLOCK_ROWS = 65_536
+#: Cosines that a task holds at once.
+AT_ONCE = 1 << 22
 #: Cosines in single precision that are closer than this may be equal in millionths.
 TIED = 5e-6
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
@@ -150,6 +161,103 @@ def fit_forest(x: np.ndarray, rows: int, *, trees: int = TREES, leaf_rows: int =
     return Forest([fit_tree(x, leaf, seed + t) for t in range(trees)])
 
 
+class Grids:
+    """Leaves around centers that are rows of the sample, several grids of them; used like a ``Forest``. Close rows stay
+    together far more often than below ten planes, so fewer copies of a row reach its neighbours, in large tables above all."""
+
+    def __init__(self, x: np.ndarray, rows: int, grids: int, leaf_rows: int, seed: int = 7):
+        n = 1 if rows <= leaf_rows else min(len(x), -(-rows // leaf_rows))
+        pick = [np.random.default_rng(seed + g).choice(len(x), n, replace=False) if n > 1 else [] for g in range(grids)]
+        self.centers = np.array([x[p] if n > 1 else np.zeros((1, x.shape[1])) for p in pick], np.float32)
+        self.roots = np.zeros(grids)
+        self.first = np.arange(grids + 1) * max(n, 1)
+
+    def search(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Rows x probes: first a row's own leaf of every grid (its nearest center), then the leaves of all grids in one
+        order, by how much less their center's cosine is than the own leaf's; -1 where there are fewer."""
+        grids, n = self.centers.shape[:2]
+        most = min(probes, grids * n)
+        out = np.full((len(x), probes), -1, np.int64)
+        step = max(1, min(4096, AT_ONCE // (grids * n)))
+        for at in range(0, len(x), step):
+            cos = np.stack([x[at : at + step] @ c.T for c in self.centers], 1)
+            less = cos.max(2, keepdims=True) - cos
+            np.put_along_axis(less, cos.argmax(2)[:, :, None], -1 + np.arange(grids, dtype=np.float32)[:, None] / grids, 2)
+            less = less.reshape(len(less), -1)
+            near = np.argpartition(less, most - 1, axis=1)[:, :most] if most < less.shape[1] else np.tile(np.arange(most), (len(less), 1))
+            order = np.argsort(np.take_along_axis(less, near, 1), axis=1, kind="stable")
+            out[at : at + step, :most] = np.take_along_axis(near, order, 1)
+        return out
+
+
+class Cells:
+    """Dense groups that are compared whole, at any size. A cell has a center, core rows (at most an angle b from it) and
+    all rows at most b + acos(least cosine asked) from it. By the triangle inequality every row that reaches this cosine with
+    a core row is in its cell: core rows need no other leaf, and none of their pairs is missed. Rows of a cell that are core
+    in none are searched in their cells and in the grids. A cell has ``blocks``, by hash of the id; a task holds two of them."""
+
+    def __init__(self, centers: np.ndarray, wide: np.ndarray, blocks: np.ndarray, min_cos: float):
+        self.centers, self.blocks = centers.astype(np.float32), blocks.astype(np.int64)
+        self.core = np.cos(wide).astype(np.float32)
+        self.edge = (np.cos(np.minimum(wide + np.arccos(min_cos), np.pi)) - 1e-4).astype(np.float32)
+        self.first = np.cumsum(np.r_[0, self.blocks * (self.blocks + 1) // 2])
+
+    def is_core(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate([(u[i : i + 4096] @ self.centers.T >= self.core).any(1) for i in range(0, len(u), 4096)] or [np.zeros(0, bool)])
+
+    def place(self, u: np.ndarray, ids: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which rows are core, and row, task and role of all that are in cells; role 4 marks a task's second block. Rows
+        that are core elsewhere aren't searched for again where they are no core."""
+        c = u @ self.centers.T
+        own = c >= self.core
+        core = own.any(1)
+        i, j = np.nonzero(c >= self.edge)
+        roles = np.where(core[i] & ~own[i, j], role & 1, role)
+        i, j, roles = i[roles > 0], j[roles > 0], roles[roles > 0]
+        n = self.blocks[j]
+        block = ((ids[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+        got = [], [], []
+        for other in range(n.max(initial=0)):
+            at = np.flatnonzero(n > other)
+            low, high = np.minimum(block[at], other), np.maximum(block[at], other)
+            got[0].append(i[at])
+            got[1].append(self.first[j[at]] + low * n[at] - low * (low - 1) // 2 + high - low)
+            got[2].append(roles[at] + 4 * (block[at] > other))
+        return core, *(np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+
+
+def fit_cells(x: np.ndarray, rows: int, min_cos: float) -> Cells | None:
+    """``x``: unit rows of the sample; ``rows``: how many rows there are. Each row that no cell has as core yet leads those
+    near it; they have a cell if most rows that it must hold are core."""
+    if min_cos < CELL_COS:
+        return None
+    free, reach = np.ones(len(x), bool), np.arccos(min(min_cos, 1.0))
+    centers, wide, blocks = [], [], []
+    while free.any():
+        at = np.flatnonzero(free)
+        leads = at[:256]
+        s = x[leads] @ x[at].T
+        for lead, cos in zip(leads, s):
+            if not free[lead]:
+                continue
+            free[lead] = False
+            near = at[cos >= min_cos]
+            if len(near) < CELL_SAMPLE or free[near].sum() + 1 < CELL_SAMPLE:
+                continue
+            center = unit(x[near].mean(0, keepdims=True))[0]
+            angle = np.arccos(np.clip(x @ center, -1, 1))
+            n = len(near)  # the center is nearer to the rows that it is the mean of than to others
+            b = min(CELL_WIDE, float(np.quantile(angle[near], 0.98)) * ((n + 1) / (n - 1)) ** 0.5 + 0.04)
+            core, inside = angle <= b, int((angle <= b + reach).sum())
+            if core.sum() < CELL_SAMPLE or inside > 2 * core.sum():
+                continue
+            free &= ~core
+            centers.append(center)
+            wide.append(b)
+            blocks.append(max(1, -(-inside * rows // (len(x) * BLOCK_ROWS))))
+    return Cells(np.array(centers), np.array(wide), np.array(blocks), min_cos) if centers else None
+
+
 def graft(tree: Tree, subtrees: dict[int, Tree]) -> Tree:
     """``tree`` with some leaves replaced by trees of their own; leaves are numbered anew."""
     normals, offsets = [tree.normals], [tree.offsets]
@@ -238,11 +346,28 @@ def sample(rows: DataFrame, count: int, most: int = SAMPLE_ROWS) -> tuple[np.nda
     return got.column(0), count
 
 
-def learn(rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """A forest for ``rows`` (id, vector). Where the sample is too small for leaves of ``leaf_rows``, the leaves' own
+def sampled(rows: DataFrame, count: int, dim: int, most: int = SAMPLE_ROWS) -> np.ndarray:
+    """The sample as unit rows."""
+    column, _ = sample(rows, count, most)
+    return unit(matrix(column, dim)) if len(column) else np.zeros((0, dim), np.float32)
+
+
+def grids(x: np.ndarray, count: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, cells: Cells | None = None) -> Grids:
+    """Grids for ``count`` rows of which ``x`` is the sample, or for those that aren't core in ``cells``."""
+    if cells is not None:
+        rest = ~cells.is_core(x)
+        x, count = x[rest], round(count * rest.mean())
+    return Grids(x, count, trees, leaf_rows)
+
+
+def learn(
+    rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS,
+    x: np.ndarray | None = None,
+) -> Forest:
+    """A forest for ``rows`` (id, vector); ``x`` is their sample if there is one. Where the sample is too small for leaves of ``leaf_rows``, the leaves' own
     subtrees are fitted in parallel, on every (leaf_rows / MIN_SAMPLE_LEAF)-th row, before any row is brought to its leaf."""
-    column, _ = sample(rows, count, sample_rows)
-    x = unit(matrix(column, dim)) if len(column) else np.zeros((0, dim), np.float32)
+    if x is None:
+        x = sampled(rows, count, dim, sample_rows)
     forest = fit_forest(x, count, trees=trees, leaf_rows=leaf_rows)
     wanted = max(leaf_rows, count * trees * 4 * (dim + 4) // FOREST_BYTES)  # rows a leaf that the forest's size allows
     if count * MIN_SAMPLE_LEAF <= 2 * wanted * max(len(x), 1):
@@ -260,15 +385,16 @@ def learn(rows: DataFrame, count: int, dim: int, *, trees: int = TREES, leaf_row
     return Forest([graft(t, {x - f: deep[x] for x in range(f, f + t.leaves) if x in deep}) for t, f in zip(forest.trees, forest.first)])
 
 
-def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: bool, probes: int, coarse: bool, sent: list | None = None) -> DataFrame:
+def route(rows: DataFrame, forest: Forest | Grids, dim: int, *, member: bool, query: bool, probes: int, coarse: bool, sent: list | None = None, cells: Cells | None = None) -> DataFrame:
     """``leaf, role, id, vector`` with a row for each leaf in which ``rows`` are members, are searched for, or both
     (role 1, 2, 3). Members are in their own leaf of each tree; ``probes`` leaves are searched. Vectors are bytes: floats
     as stored, or with ``coarse`` 8 bits a component, for candidates that are checked elsewhere. ``sent`` takes the broadcast,
-    for callers that can tell when it is no longer needed."""
+    for callers that can tell when it is no longer needed. Rows of ``cells`` go to the cells' tasks, which are numbered after the
+    leaves, and core rows to no leaf."""
     trees = len(forest.roots)
     if member and query and probes < trees:
         raise ValueError("members search at least their own leaf of each tree")
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    shared = rows.sparkSession.sparkContext.broadcast((forest, cells))
     if sent is not None:
         sent.append(shared)
     role = np.full(probes if query else trees, 2 if query else 1, np.int8)
@@ -276,17 +402,25 @@ def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: boo
         role[:trees] = 3
 
     def run(batches):
-        f: Forest = shared.value
+        f, dense = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 x = matrix(part.column(1), dim)
                 u = unit(x)
-                leaves = f.search(u, len(role))
+                outside = np.arange(len(u))
+                extra = ()
+                if dense is not None:
+                    core, *extra = dense.place(u, part.column(0).to_numpy(), (1 if member else 0) | (2 if query else 0))
+                    outside = np.flatnonzero(~core)
+                leaves = f.search(u[outside], len(role))
                 vec = np.rint(u * (127 / np.maximum(np.abs(u).max(1, keepdims=True), 1e-30))).astype(np.int8) if coarse else x
                 i, j = np.nonzero(leaves >= 0)
+                i, leaf, roles = outside[i], leaves[i, j], role[j]
+                if extra:
+                    i, leaf, roles = np.r_[i, extra[0]], np.r_[leaf, f.first[-1] + extra[1]], np.r_[roles, extra[2]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves[i, j].astype(np.int32)), pa.array(role[j], pa.int8()), part.column(0).take(pa.array(i)), packed(vec[i])],
+                    [pa.array(leaf.astype(np.int32)), pa.array(roles.astype(np.int8)), part.column(0).take(pa.array(i)), packed(vec[i])],
                     names=["leaf", "role", "id", "vector"])
 
     return rows.select("id", "vector").mapInArrow(run, "leaf int, role byte, id long, vector binary")
@@ -295,9 +429,10 @@ def route(rows: DataFrame, forest: Forest, dim: int, *, member: bool, query: boo
 _FOUND = "id long, c array<int>, b array<long>"
 
 
-def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack: float = 1e-4, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack: float = 1e-4, leaf_rows: int = LEAF_ROWS, whole: bool = False, back: bool = False) -> DataFrame:
     """``id, c, b``: each search's ``k`` best members of a leaf, as -cosines in millionths and ids. With 8-bit vectors the
-    cosines are approximate and ``slack`` should say by how much."""
+    cosines are approximate and ``slack`` should say by how much. With ``whole`` no leaf is split, whatever
+    it holds. With ``back`` a member that isn't searched for beside a search that found it gets the search in its own list."""
 
     def run(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
@@ -305,14 +440,13 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
         raw = matrix(table.column("vector"), dim)
         u = unit(raw)
         got_id, got_c, got_b, ends = [], [], [], [0]
-        for rows in _parts(u, 2 * leaf_rows):
-            members = rows[(role[rows] & 1) > 0]
-            asks = rows[(role[rows] & 2) > 0]
+        for members, asks in _blocks(role) if whole else _sides(role, _parts(u, 2 * leaf_rows)):
             if not len(members) or not len(asks):
                 continue
             um = u[members]
-            for at in range(0, len(asks), 256):
-                q = asks[at : at + 256]
+            step = min(256, max(16, AT_ONCE // len(members)))
+            for at in range(0, len(asks), step):
+                q = asks[at : at + step]
                 s = u[q] @ um.T
                 s[ids[q][:, None] == ids[members][None, :]] = -2
                 many = (s >= min_cos - slack).sum(1)
@@ -342,10 +476,19 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
                 keep = place < k
                 r, micro, b = r[keep], micro[keep], b[keep]
                 who, count = np.unique(r, return_counts=True)
-                got_id.append(ids[q[some[who]]])
+                asked = ids[q[some[who]]]
+                got_id.append(asked)
                 got_c.append(-micro)
                 got_b.append(b)
                 ends.extend((ends[-1] + np.cumsum(count)).tolist())
+                if back:
+                    far = np.flatnonzero(np.repeat(role[q[some[who]]] == 2, count))
+                    far = far[np.argsort(b[far], kind="stable")]
+                    others, count_b = np.unique(b[far], return_counts=True)
+                    got_id.append(others)
+                    got_c.append(-micro[far])
+                    got_b.append(np.repeat(asked, count)[far])
+                    ends.extend((ends[-1] + np.cumsum(count_b)).tolist())
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         ends = pa.array(ends, pa.int32())
         return pa.table({"id": pa.array(cat(got_id)), "c": pa.ListArray.from_arrays(ends, pa.array(cat(got_c).astype(np.int32))),
@@ -354,6 +497,19 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
     return routed.groupBy("leaf").applyInArrow(run, _FOUND)
 
 
+def _sides(role: np.ndarray, parts):
+    """Members and searches of each part."""
+    for rows in parts:
+        yield rows[(role[rows] & 1) > 0], rows[(role[rows] & 2) > 0]
+
+
+def _blocks(role: np.ndarray):
+    """Members and searches of a whole leaf or a cell's task: all against all in one block, each against the other in two."""
+    one, two = np.flatnonzero(role < 4), np.flatnonzero(role >= 4)
+    for a, b in ((one, two), (two, one)) if len(two) else ((one, one),):
+        yield a[(role[a] & 1) > 0], b[(role[b] & 2) > 0]
+
+
 def _best_of_ties(raw: np.ndarray, ids: np.ndarray, asks: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
     """Places in ``members`` of the ``k`` best of each search by cosine in millionths (double precision) and smaller id."""
     def double(rows):

@@ -1,4 +1,5 @@
-"""The k most similar vectors of every vector, by a random-projection forest."""
+"""The k most similar vectors of every vector: dense groups compared whole, other rows by grids of leaves where a least
+cosine is asked and by a random-projection forest where none is."""
 
 from __future__ import annotations
 
@@ -9,9 +10,9 @@ from vectide.llm import forest as rp
 from vectide.plans.scratch import Scratch, broadcast_if
 
 DIM = 96
-#: Each vector is a member of its own leaf of every tree and searches the PROBES first leaves of the queue, so PROBES copies
-#: of it are shuffled; see the README for recall.
-TREES, PROBES, LEAF_ROWS = 4, 5, 8192
+#: Each vector outside the dense groups is a member of its own leaf of every grid (or tree) and searches the PROBES first leaves
+#: of all, so PROBES copies of it are shuffled; see the README for recall.
+TREES, PROBES, LEAF_ROWS = 2, 8, 8192
 
 
 def nearest(
@@ -22,7 +23,8 @@ def nearest(
     similar other rows with a cosine of at least ``min_cos``.
 
     Cosines are exact (double precision, rounded to 6 decimals); equal ones rank by smaller id. Which rows are compared
-    is decided by the forest, so a neighbour may be missed; see the README for recall. Exact copies are found without
+    is decided by leaves, so a neighbour may be missed, but none of a row well inside a dense group (``forest.Cells``); see the
+    README for recall. Exact copies are found without
     fail: they are collapsed before the search and listed after it. Rows with a null id or a vector that is null, empty,
     of another length, not finite or zero have no neighbours and are none. Rows that repeat an id count once.
     """
@@ -31,18 +33,24 @@ def nearest(
     rows = rp.usable(records, id, vector, dim)
     reps, copies, n_copies = rp.collapse(rows, scratch)
     count = reps.count()
-    forest = rp.learn(reps, count, dim, trees=trees, leaf_rows=leaf_rows)
+    x = rp.sampled(reps, count, dim)
+    cells = rp.fit_cells(x, count, min_cos) if count > leaf_rows else None  # up to that, all rows share a leaf
+    whole = min_cos >= rp.CELL_COS
+    if whole:
+        forest = rp.grids(x, count, trees=trees, leaf_rows=leaf_rows, cells=cells)
+    else:
+        forest = rp.learn(reps, count, dim, trees=trees, leaf_rows=leaf_rows, x=x)
     if queries is None:
-        routed = rp.route(reps, forest, dim, member=True, query=True, probes=probes, coarse=False)
+        routed = rp.route(reps, forest, dim, member=True, query=True, probes=probes, coarse=False, cells=cells)
     else:
-        members = rp.route(reps, forest, dim, member=True, query=False, probes=probes, coarse=False)
+        members = rp.route(reps, forest, dim, member=True, query=False, probes=probes, coarse=False, cells=cells)
         asked = reps.where(queries)
         if n_copies:  # a copy is searched for by its representative
             others = broadcast_if(copies.where(queries).select(F.col("rep").alias("id")).distinct(), n_copies, rp.SMALL)
             asked = asked.unionByName(reps.where(~queries).join(others, "id", "left_semi"))
-        asks = rp.route(asked, forest, dim, member=False, query=True, probes=probes, coarse=False)
+        asks = rp.route(asked, forest, dim, member=False, query=True, probes=probes, coarse=False, cells=cells)
         routed = members.unionByName(asks)
-    lists = rp.merge_lists(rp.search_leaves(routed, dim, k, min_cos, leaf_rows=leaf_rows), k)
+    lists = rp.merge_lists(rp.search_leaves(routed, dim, k, min_cos, leaf_rows=leaf_rows, whole=whole, back=queries is None), k)
     if n_copies:
         lists = _with_copies(scratch.table(lists, "lists"), copies, n_copies, k, scratch)
     if queries is not None:
