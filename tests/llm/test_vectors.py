@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vectide.llm import forest as rp
 from vectide.llm.clusters import linkage, similarity_clusters
 from vectide.llm.components import components
-from vectide.llm.diverse import farthest_first, varied_subset
+from vectide.llm.diverse import farthest_first, from_earlier, varied_subset
 from vectide.llm.knn import nearest
 from vectide.plans.scratch import Scratch
 
@@ -349,3 +349,28 @@ def test_grids_give_own_leaves_first_and_then_the_nearest():
     paid = np.take_along_axis(less, got, 1)
     assert (np.diff(paid[:, 2:]) >= 0).all() and np.allclose(paid[:, -1], np.sort(less, 1)[:, 6], atol=1e-6)
     assert (rp.Grids(x[:0], 0, 2, 200).search(x[:3], 4) == [0, 1, -1, -1]).all()
+
+
+def test_subsets_do_not_depend_on_the_size_of_a_block(spark):
+    """One definition at every size: a pool in one block, in three and in many gives the same order."""
+    x = rp.unit(blobs([600] + [3] * 60, seed=2, spread=0.5))
+    topic = F.when(F.col("id") % 7 == 0, "odd").otherwise("even")
+    df = frame(spark, x).withColumn("metadata", F.create_map(F.lit("topic"), topic))
+    orders = [[r["id"] for r in varied_subset(df, 100, dim=DIM, part_rows=100, pool_most=most).orderBy("place").collect()] for most in (20_000, 120, 25)]
+    assert len(orders[0]) == 100 and orders[0] == orders[1] == orders[2]
+    kept = x[[i - 1 for i in orders[0]]]
+    apart = 2 - 2 * kept @ kept.T + 0.6 * np.array([[(a % 7 == 0) != (b % 7 == 0) for a in orders[0]] for b in orders[0]])
+    least = [apart[i, :i].min() for i in range(1, 100)]
+    assert np.allclose(least, np.sort(least)[::-1], atol=1e-5)  # one shared radius, and places by distance from earlier ones
+
+
+def test_distances_from_earlier_rows_of_the_other_side():
+    rng = np.random.default_rng(3)
+    x, labels, w = rp.unit(rng.normal(size=(70, 6))), rng.integers(0, 3, (70, 2)), np.array([0.6, 0.3], np.float32)
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2) + ((labels[:, None] != labels[None]) * w).sum(2)
+    side = rng.random(70) < 0.4
+    for s, among in ((None, None), (side, None), (np.ones(70, bool), None), (None, rng.random(70) < 0.5), (side, rng.random(70) < 0.5)):
+        got = from_earlier(x, labels, w, s, among)
+        for i in range(70):
+            before = [d[i, j] for j in range(i) if (s is None or s[j] != s[i]) and (among is None or among[j])]
+            assert got[i] == pytest.approx(min(before, default=64), abs=2e-6)

@@ -1,12 +1,12 @@
 """A varied subset by distributed farthest-first selection.
 
 A point is a unit vector extended by weighted indicators of its metadata values, so that distance grows with both. Each
-partition selects greedily, always the point farthest from those selected (k-center); the partitions' choices are pooled,
-and farthest-first runs again over the pool. The rerun orders the pool by the distance that each point had from those
-selected before it, and the subset is what this order has first: all points at least one shared radius apart. A pool that
-one task holds is one leaf. A larger one is cut into leaves of near points by a random-projection tree, and every leaf
-gives its points their distances; a second tree then lowers the distances of points that have an earlier one near them
-across a border of the first. So dense regions fill no shares at any size.
+partition selects greedily, always the point farthest from those selected (k-center); the partitions' choices are pooled and
+ordered by the distance that each had from those selected before it; the subset is what this order has first. Passes over the
+whole pool follow: every point gets its distance from the nearest point before it (first of all points, then of the subset so far),
+in whatever partition, and these distances give the next order. When the subset stays the same, its points are at least one
+shared radius apart, and every other point of the pool is nearer than that to one of them. The same definition holds at every
+size: blocks of the pool meet in pairs, so their size decides about work and not about results.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from vectide.plans.scratch import Scratch
 DIM = 96
 #: Rows of one partition of the first round.
 PART_ROWS = 4096
-#: Points of the pool that one leaf may hold.
-POOL_MOST = 20_000
+#: Points of one block of the pool; any two blocks meet in one task.
+POOL_MOST = 65_536
+#: Passes over the pool, if the subset doesn't stay the same before.
+PASSES = 20
+#: Distances that a task holds at once.
+AT_ONCE = 1 << 21
 #: Points that partitions select for each one that is wanted.
 OVER = 3
 #: Weights of the metadata indicators in squared distance (two unit vectors are at most 4 apart, unrelated ones 2).
@@ -70,18 +74,38 @@ def _squares(x: np.ndarray, sq: np.ndarray, labels: np.ndarray, weights: np.ndar
     return d
 
 
-def from_earlier(x: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each row's squared distance from the nearest row before it."""
-    sq, near = (x * x).sum(1), np.full(len(x), FAR, np.float32)
-    for s in range(0, len(x), 256):
-        e = min(s + 256, len(x))
-        d = np.maximum(sq[s:e, None] + sq[None, :e] - 2 * (x[s:e] @ x[:e].T), 0)
+def from_earlier(
+    x: np.ndarray, labels: np.ndarray, weights: np.ndarray, side: np.ndarray | None = None, among: np.ndarray | None = None,
+) -> np.ndarray:
+    """Each row's squared distance from the nearest row before it; with ``side`` (booleans) from rows of the other side only, with
+    ``among`` from those it marks. Candidates in single precision, the distance in double precision, rounded to millionths."""
+    rows = np.arange(len(x))
+    sq, to = (x * x).sum(1), np.full(len(x), -1)
+    codes = np.stack([np.unique(c, return_inverse=True)[1] for c in labels.T], 1).astype(np.int32) if labels.size else labels
+    for a, b in ((rows, rows),) if side is None else ((rows[~side], rows[side]), (rows[side], rows[~side])):
+        b = b if among is None else b[among[b]]
+        if not len(b):
+            continue
+        xb, sb, cb = x[b], sq[b], np.ascontiguousarray(codes[b].T)
+        step = max(1, AT_ONCE // len(b))
+        for s in range(0, len(a), step):
+            at = a[s : s + step]
+            d = x[at] @ xb.T
+            d *= -2
+            d += sq[at][:, None]
+            d += sb
+            for j in range(codes.shape[1]):
+                d += np.float32(weights[j]) * (codes[at, j][:, None] != cb[j])
+            d[at[:, None] <= b] = np.inf
+            best = d.argmin(1)
+            to[at] = np.where(np.isfinite(d[np.arange(len(at)), best]), b[best], -1)
+    out, found = np.full(len(x), FAR), np.flatnonzero(to >= 0)
+    for s in range(0, len(found), 8192):
+        i = found[s : s + 8192]
+        d = ((x[i].astype(np.float64) - x[to[i]].astype(np.float64)) ** 2).sum(1)
         d[d < 1e-6] = 0
-        for j in range(labels.shape[1]):
-            d += weights[j] * (labels[s:e, None, j] != labels[None, :e, j])
-        d[np.arange(s, e)[:, None] <= np.arange(e)[None, :]] = FAR
-        near[s:e] = d.min(1, initial=FAR)
-    return near
+        out[i] = np.minimum(d + (labels[i] != labels[to[i]]) @ weights.astype(np.float64), FAR)
+    return np.round(out, 6).astype(np.float32)
 
 
 def varied_subset(
@@ -111,25 +135,18 @@ def varied_subset(
     w = np.array(list(weights.values()), np.float32)
     share = min(1.0, OVER * size / count)
     parts = -(-count // part_rows)
-    pool = rows
-    if parts > 1:
-        spread = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).cast("int")
-        pool = _select(rows, spread, lambda n: max(8, int(np.ceil(n * share))), w, dim)
-        pool = scratch.table(pool.drop("apart"), "pool")
-    left = pool.count() if pool is not rows else count
-    quota = lambda n: min(n, size)
-    if left <= pool_most:
-        order = _select(pool, F.lit(0), quota, w, dim)
-    else:
-        points = pool.select("id", F.col("v").alias("vector"))
-        forest = rp.learn(points, left, dim, trees=2, leaf_rows=pool_most)
-        leaves = rp.route(points, forest, dim, member=True, query=False, probes=0, coarse=True).groupBy("id").agg(
-            F.min("leaf").alias("one"), F.max("leaf").alias("two"))  # leaves are numbered tree by tree
-        pool = scratch.table(pool.join(leaves, "id"), "routed")
-        order = _select(pool, F.col("one"), quota, w, dim)
-        order = _across(order.join(pool.select("id", "two"), "id"), w, dim)
-    order = scratch.table(order.select("id", "apart"), "order")
-    return _first(order, min(size, order.count()))
+    spread = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).cast("int")
+    pool = scratch.table(_select(rows, spread, lambda n: max(8, int(np.ceil(n * share))), w, dim), "pool")
+    left = pool.count()
+    size = min(size, left)
+    order, taken = pool.select("id", "apart", F.lit(True).alias("among")), None
+    for _ in range(PASSES):
+        apart = scratch.table(_ordered(pool.drop("apart").join(order, "id"), -(-left // pool_most), w, dim), "order")
+        before, taken = taken, scratch.table(_first(apart, size), "taken")
+        if before is not None and before.join(taken, "id", "left_semi").count() == size:
+            break
+        order = apart.join(taken.select("id", F.lit(True).alias("among")), "id", "left").fillna(False, ["among"])
+    return taken
 
 
 def _first(order: DataFrame, size: int) -> DataFrame:
@@ -187,17 +204,23 @@ def _select(rows: DataFrame, part, quota, w: np.ndarray, dim: int) -> DataFrame:
     return rows.select("id", "v", "m", part.alias("part")).groupBy("part").applyInArrow(run, _KIND)
 
 
-def _across(rows: DataFrame, w: np.ndarray, dim: int) -> DataFrame:
-    """Distances lowered by earlier points of the same leaf of the second tree; earlier is what was farther apart."""
+def _ordered(rows: DataFrame, blocks: int, w: np.ndarray, dim: int) -> DataFrame:
+    """``id, apart``: each row's distance from the nearest of all rows before it that ``among`` marks; before is what was farther
+    apart, of equal rows the smaller hash. Every row is sent once to each block."""
 
     def run(table: pa.Table) -> pa.Table:
-        apart, ids = table.column("apart").to_numpy(), table.column("id").to_numpy()
-        order = pa.array(np.lexsort((ids, -apart)))
-        table = table.take(order)
-        apart = np.minimum(table.column("apart").to_numpy(), from_earlier(*_points(table, dim), w))
-        return table.select(["id", "v", "m"]).append_column("apart", pa.array(apart.astype(np.float32))).cast(_POINTS)
-
-    return rows.groupBy("two").applyInArrow(run, _KIND)
+        ids = table.column("id").to_numpy()
+        h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+        table = table.take(pa.array(np.lexsort((ids, h, -table.column("apart").to_numpy()))))
+        side = table.column("block").to_numpy() > table.column("low").to_numpy()
+        one = table.column("high")[0].as_py() == table.column("low")[0].as_py()
+        apart = from_earlier(*_points(table, dim), w, None if one else side, table.column("among").to_numpy())
+        return pa.table({"id": table.column("id"), "apart": pa.array(apart)})
+
+    block = F.pmod(F.xxhash64("id", F.lit(blocks)), F.lit(blocks)).cast("int")
+    sent = rows.select("*", block.alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    sent = sent.select("id", "v", "m", "apart", "among", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return sent.groupBy("low", "high").applyInArrow(run, "id long, apart float").groupBy("id").agg(F.min("apart").alias("apart"))
 
 
 def p6_subset(spark, sf_dir: str) -> DataFrame:
