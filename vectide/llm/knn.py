@@ -13,11 +13,13 @@ DIM = 96
 #: Each vector outside the dense groups is a member of its own leaf of every grid (or tree) and searches the PROBES first leaves
 #: of all, so PROBES copies of it are shuffled; see the README for recall.
 TREES, PROBES, LEAF_ROWS = 2, 8, 8192
+#: The same for trees, where no least cosine is asked.
+FOREST_TREES, FOREST_PROBES = 4, 5
 
 
 def nearest(
     records: DataFrame, k: int = 10, min_cos: float = -1.0, *, id: str = "id", vector: str = "vector", dim: int = DIM,
-    trees: int = TREES, probes: int = PROBES, leaf_rows: int = LEAF_ROWS, queries=None,
+    trees: int | None = None, probes: int | None = None, leaf_rows: int = LEAF_ROWS, queries=None,
 ) -> DataFrame:
     """``id, other, cosine, rank``: for every row (or those that the condition ``queries`` on ``id`` picks) its ``k`` most
     similar other rows with a cosine of at least ``min_cos``.
@@ -36,6 +38,7 @@ def nearest(
     x = rp.sampled(reps, count, dim)
     cells = rp.fit_cells(x, count, min_cos) if count > leaf_rows else None  # up to that, all rows share a leaf
     whole = min_cos >= rp.CELL_COS
+    trees, probes = trees or (TREES if whole else FOREST_TREES), probes or (PROBES if whole else FOREST_PROBES)
     if whole:
         forest = rp.grids(x, count, trees=trees, leaf_rows=leaf_rows, cells=cells)
     else:
@@ -50,7 +53,7 @@ def nearest(
             asked = asked.unionByName(reps.where(~queries).join(others, "id", "left_semi"))
         asks = rp.route(asked, forest, dim, member=False, query=True, probes=probes, coarse=False, cells=cells)
         routed = members.unionByName(asks)
-    lists = rp.merge_lists(rp.search_leaves(routed, dim, k, min_cos, leaf_rows=leaf_rows, whole=whole, back=queries is None), k)
+    lists = rp.merge_lists(rp.search_leaves(routed, dim, k, min_cos, leaf_rows=leaf_rows, whole=whole, back=whole and queries is None), k)
     if n_copies:
         lists = _with_copies(scratch.table(lists, "lists"), copies, n_copies, k, scratch)
     if queries is not None:
