@@ -351,6 +351,47 @@ def test_grids_give_own_leaves_first_and_then_the_nearest():
     assert (rp.Grids(x[:0], 0, 2, 200).search(x[:3], 4) == [0, 1, -1, -1]).all()
 
 
+def test_rows_are_sent_once_to_leaves_that_share_a_task(spark):
+    """Every leaf still gets all its members and searches, but a row with several leaves in one task is shuffled once for them."""
+    x = blobs([20] * 50, seed=5, spread=1)
+    u = rp.unit(x)
+    g = rp.Grids(u, len(x), 2, 100)
+    want = {(i + 1, leaf, 3 if n < 2 else 2) for i, leaves in enumerate(g.search(u, 8).tolist()) for n, leaf in enumerate(leaves)}
+    sent = rp.route(frame(spark, x).select("id", "vector"), g, DIM, member=True, query=True, probes=8, coarse=False).select("leaf", "id", "role").collect()
+    assert len({(r["leaf"], r["id"]) for r in sent}) == len(sent) < 0.7 * len(want)
+    at = {(t, p): leaf for leaf, (t, p) in enumerate(zip(g.task.tolist(), g.place.tolist()))}
+    assert len(at) == 20 and max(p for _, p in at) < rp.TOGETHER
+    got = set()
+    for t in {r["leaf"] for r in sent}:
+        ids, role = (np.array([r[c] for r in sent if r["leaf"] == t]) for c in ("id", "role"))
+        for p, (own, members, asks) in enumerate(rp._leaves(role)):
+            assert (own[members] == 3).all() and (own[asks] > 1).all()
+            got |= {(int(ids[a]), at[t, p], int(own[a])) for a in asks}
+    assert got == want
+
+
+def test_a_task_of_leaves_is_bounded_by_its_rows():
+    """Leaves of very different size: no task has more rows than eight average leaves, unless it is one leaf."""
+    rng = np.random.default_rng(4)
+    leaves = np.sort(rng.zipf(1.5, (5000, 4)) % 60, axis=1)
+    leaves[:, 1:][leaves[:, 1:] == leaves[:, :-1]] = -1
+    held = np.bincount(leaves[leaves >= 0], minlength=60)
+    task, place = rp.share(leaves, 60)
+    load = np.bincount(task, held)
+    assert held.max() > rp.TOGETHER * held.mean() and ((load <= rp.TOGETHER * held.mean()) | (np.bincount(task) == 1)).all()
+    assert len(set(zip(task.tolist(), place.tolist()))) == 60 and place.max() < rp.TOGETHER
+    assert [a.tolist() for a in rp.share(leaves[:0], 2)] == [[0, 0], [0, 1]]
+
+
+def test_neighbours_do_not_depend_on_how_leaves_share_tasks(spark, monkeypatch):
+    x = blobs([25] * 60 + [1] * 200, seed=3, spread=0.5)
+    got = []
+    for most in (1, 3, 8):
+        monkeypatch.setattr(rp, "TOGETHER", most)
+        got.append([lists(nearest(frame(spark, x), 10, 0.6, dim=DIM, leaf_rows=100, **kw)) for kw in ({}, {"queries": F.col("id") % 3 == 0})])
+    assert len(got[0][0]) > 1000 and got[0] == got[1] == got[2]
+
+
 def test_subsets_do_not_depend_on_the_size_of_a_block(spark):
     """One definition at every size: a pool in one block, in three and in many gives the same order."""
     x = rp.unit(blobs([600] + [3] * 60, seed=2, spread=0.5))

@@ -43,6 +43,9 @@ BLOCK_ROWS = 65_536
 AT_ONCE = 1 << 22
 #: Cosines in single precision that are closer than this may be equal in millionths.
 TIED = 5e-6
+#: Leaves of grids that share a task, at most. A row is sent to a task once, whichever of its leaves it goes to; a task then holds
+#: about 24 times as many rows as a leaf (README).
+TOGETHER = 8
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
 SMALL = 100_000
 
@@ -163,14 +166,16 @@ def fit_forest(x: np.ndarray, rows: int, *, trees: int = TREES, leaf_rows: int =
 
 class Grids:
     """Leaves around centers that are rows of the sample, several grids of them; used like a ``Forest``. Close rows stay
-    together far more often than below ten planes, so fewer copies of a row reach its neighbours, in large tables above all."""
+    together far more often than below ten planes, so fewer copies of a row reach its neighbours, in large tables above all.
+    Leaves that the same rows go to share a ``task``, each with its ``place`` there."""
 
-    def __init__(self, x: np.ndarray, rows: int, grids: int, leaf_rows: int, seed: int = 7):
+    def __init__(self, x: np.ndarray, rows: int, grids: int, leaf_rows: int, seed: int = 7, probes: int = 8):
         n = 1 if rows <= leaf_rows else min(len(x), -(-rows // leaf_rows))
         pick = [np.random.default_rng(seed + g).choice(len(x), n, replace=False) if n > 1 else [] for g in range(grids)]
         self.centers = np.array([x[p] if n > 1 else np.zeros((1, x.shape[1])) for p in pick], np.float32)
         self.roots = np.zeros(grids)
         self.first = np.arange(grids + 1) * max(n, 1)
+        self.task, self.place = share(self.search(x, probes), self.first[-1])
 
     def search(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Rows x probes: first a row's own leaf of every grid (its nearest center), then the leaves of all grids in one
@@ -190,6 +195,28 @@ class Grids:
         return out
 
 
+def share(leaves: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Task and place in it of each of ``count`` leaves, of which the sample's rows go to ``leaves`` (-1: none). A task starts with
+    the leaf that most rows go to and takes the one that shares most rows with its leaves, until it has TOGETHER or as many rows
+    as so many leaves have on average; a leaf that has more is alone."""
+    a, b = leaves[:, :, None], leaves[:, None, :]
+    pairs, rows = np.unique((a * count + b)[(a != b) & (a >= 0) & (b >= 0)], return_counts=True)
+    first, other = np.searchsorted(pairs, np.arange(count + 1) * count), pairs % count
+    task, place = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    free, held = np.ones(count, bool), np.bincount(leaves[leaves >= 0], minlength=count)
+    at, size, load, common = -1, TOGETHER, 0, held
+    for _ in range(count):
+        fits = free & (held + load <= TOGETHER * held.mean())
+        if size == TOGETHER or not fits.any():
+            at, size, load, common, fits = at + 1, 0, 0, held.copy(), free
+        leaf = int(np.where(fits, common, -1).argmax())
+        if not size:
+            common[:] = 0
+        free[leaf], task[leaf], place[leaf], size, load = False, at, size, size + 1, load + held[leaf]
+        common[other[first[leaf] : first[leaf + 1]]] += rows[first[leaf] : first[leaf + 1]]
+    return task, place
+
+
 class Cells:
     """Dense groups that are compared whole, at any size. A cell has a center, core rows (at most an angle b from it) and
     all rows at most b + acos(least cosine asked) from it. By the triangle inequality every row that reaches this cosine with
@@ -352,12 +379,12 @@ def sampled(rows: DataFrame, count: int, dim: int, most: int = SAMPLE_ROWS) -> n
     return unit(matrix(column, dim)) if len(column) else np.zeros((0, dim), np.float32)
 
 
-def grids(x: np.ndarray, count: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, cells: Cells | None = None) -> Grids:
-    """Grids for ``count`` rows of which ``x`` is the sample, or for those that aren't core in ``cells``."""
+def grids(x: np.ndarray, count: int, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = 8, cells: Cells | None = None) -> Grids:
+    """Grids for ``count`` rows of which ``x`` is the sample, or for those that aren't core in ``cells``; ``probes`` leaves are searched."""
     if cells is not None:
         rest = ~cells.is_core(x)
         x, count = x[rest], round(count * rest.mean())
-    return Grids(x, count, trees, leaf_rows)
+    return Grids(x, count, trees, leaf_rows, probes=probes)
 
 
 def learn(
@@ -389,14 +416,15 @@ def route(rows: DataFrame, forest: Forest | Grids, dim: int, *, member: bool, qu
     """``leaf, role, id, vector`` with a row for each leaf in which ``rows`` are members, are searched for, or both
     (role 1, 2, 3). Members are in their own leaf of each tree; ``probes`` leaves are searched. Vectors are bytes: floats
     as stored, or with ``coarse`` 8 bits a component, for candidates that are checked elsewhere. ``sent`` takes the broadcast,
-    for callers that can tell when it is no longer needed. Rows of ``cells`` go to the cells' tasks, which are numbered after the
-    leaves, and core rows to no leaf."""
+    for callers that can tell when it is no longer needed. With ``Grids``, ``leaf`` is a task of leaves and ``role`` has the roles in
+    all of them (``_leaves``). Rows of ``cells`` go to the cells' tasks, which are numbered after the leaves, and core rows to no leaf."""
     trees = len(forest.roots)
     if member and query and probes < trees:
         raise ValueError("members search at least their own leaf of each tree")
     shared = rows.sparkSession.sparkContext.broadcast((forest, cells))
     if sent is not None:
         sent.append(shared)
+    grid = isinstance(forest, Grids)
     role = np.full(probes if query else trees, 2 if query else 1, np.int8)
     if member and query:
         role[:trees] = 3
@@ -416,14 +444,25 @@ def route(rows: DataFrame, forest: Forest | Grids, dim: int, *, member: bool, qu
                 leaves = f.search(u[outside], len(role))
                 vec = np.rint(u * (127 / np.maximum(np.abs(u).max(1, keepdims=True), 1e-30))).astype(np.int8) if coarse else x
                 i, j = np.nonzero(leaves >= 0)
-                i, leaf, roles = outside[i], leaves[i, j], role[j]
+                leaf, roles = leaves[i, j], role[j]
+                if grid:
+                    i, leaf, roles = _once(i, f.task[leaf], roles.astype(np.int32) << 3 + 2 * f.place[leaf])
+                i = outside[i]
                 if extra:
                     i, leaf, roles = np.r_[i, extra[0]], np.r_[leaf, f.first[-1] + extra[1]], np.r_[roles, extra[2]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.astype(np.int32)), pa.array(roles.astype(np.int8)), part.column(0).take(pa.array(i)), packed(vec[i])],
+                    [pa.array(leaf.astype(np.int32)), pa.array(roles.astype(np.int32 if grid else np.int8)), part.column(0).take(pa.array(i)), packed(vec[i])],
                     names=["leaf", "role", "id", "vector"])
 
-    return rows.select("id", "vector").mapInArrow(run, "leaf int, role byte, id long, vector binary")
+    return rows.select("id", "vector").mapInArrow(run, f"leaf int, role {'int' if grid else 'byte'}, id long, vector binary")
+
+
+def _once(i: np.ndarray, task: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's tasks once, with its roles in all their leaves."""
+    order = np.lexsort((task, i))
+    i, task, roles = i[order], task[order], roles[order]
+    new = np.flatnonzero(np.r_[np.ones(min(len(i), 1), bool), (i[1:] != i[:-1]) | (task[1:] != task[:-1])])
+    return i[new], task[new], np.bitwise_or.reduceat(roles, new) if len(new) else roles
 
 
 _FOUND = "id long, c array<int>, b array<long>"
@@ -438,16 +477,15 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
         role = table.column("role").to_numpy()
         ids = table.column("id").to_numpy()
         raw = matrix(table.column("vector"), dim)
-        u = unit(raw)
         got_id, got_c, got_b, ends = [], [], [], [0]
-        for members, asks in _blocks(role) if whole else _sides(role, _parts(u, 2 * leaf_rows)):
+        for own, members, asks in _leaves(role) if whole else _sides(role, _parts(unit(raw), 2 * leaf_rows)):
             if not len(members) or not len(asks):
                 continue
-            um = u[members]
+            um = unit(raw[members])
             step = min(256, max(16, AT_ONCE // len(members)))
             for at in range(0, len(asks), step):
                 q = asks[at : at + step]
-                s = u[q] @ um.T
+                s = unit(raw[q]) @ um.T
                 s[ids[q][:, None] == ids[members][None, :]] = -2
                 many = (s >= min_cos - slack).sum(1)
                 wide = min(int(many.max(initial=0)), k + 6, len(members))
@@ -482,7 +520,7 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
                 got_b.append(b)
                 ends.extend((ends[-1] + np.cumsum(count)).tolist())
                 if back:
-                    far = np.flatnonzero(np.repeat(role[q[some[who]]] == 2, count))
+                    far = np.flatnonzero(np.repeat(own[q[some[who]]] == 2, count))
                     far = far[np.argsort(b[far], kind="stable")]
                     others, count_b = np.unique(b[far], return_counts=True)
                     got_id.append(others)
@@ -498,13 +536,25 @@ def search_leaves(routed: DataFrame, dim: int, k: int, min_cos: float, *, slack:
 
 
 def _sides(role: np.ndarray, parts):
-    """Members and searches of each part."""
+    """Roles, members and searches of each part."""
     for rows in parts:
-        yield rows[(role[rows] & 1) > 0], rows[(role[rows] & 2) > 0]
+        yield role, rows[(role[rows] & 1) > 0], rows[(role[rows] & 2) > 0]
+
+
+def _leaves(role: np.ndarray):
+    """Roles, members and searches of each leaf of a task. The leaf at place p of a task of ``Grids`` has the roles in bits 3 + 2p and
+    4 + 2p; the lower three are those of a cell's task."""
+    if (role < 8).all():
+        for members, asks in _blocks(role):
+            yield role, members, asks
+        return
+    for place in range(TOGETHER):
+        own = role >> 3 + 2 * place & 3
+        yield own, np.flatnonzero(own & 1), np.flatnonzero(own & 2)
 
 
 def _blocks(role: np.ndarray):
-    """Members and searches of a whole leaf or a cell's task: all against all in one block, each against the other in two."""
+    """Members and searches of a cell's task: all against all in one block, each against the other in two."""
     one, two = np.flatnonzero(role < 4), np.flatnonzero(role >= 4)
     for a, b in ((one, two), (two, one)) if len(two) else ((one, one),):
         yield a[(role[a] & 1) > 0], b[(role[b] & 2) > 0]

@@ -11,7 +11,7 @@ from vectide.plans.scratch import Scratch, broadcast_if
 
 DIM = 96
 #: Each vector outside the dense groups is a member of its own leaf of every grid (or tree) and searches the PROBES first leaves
-#: of all, so PROBES copies of it are shuffled; see the README for recall.
+#: of all, so PROBES copies of it are shuffled at most, one for each task that has some of them; see the README for recall.
 TREES, PROBES, LEAF_ROWS = 2, 8, 8192
 #: The same for trees, where no least cosine is asked.
 FOREST_TREES, FOREST_PROBES = 4, 5
@@ -40,7 +40,7 @@ def nearest(
     whole = min_cos >= rp.CELL_COS
     trees, probes = trees or (TREES if whole else FOREST_TREES), probes or (PROBES if whole else FOREST_PROBES)
     if whole:
-        forest = rp.grids(x, count, trees=trees, leaf_rows=leaf_rows, cells=cells)
+        forest = rp.grids(x, count, trees=trees, leaf_rows=leaf_rows, probes=probes, cells=cells)
     else:
         forest = rp.learn(reps, count, dim, trees=trees, leaf_rows=leaf_rows, x=x)
     if queries is None:
